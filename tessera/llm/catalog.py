@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, html_text, jaccard_join, quality, toxicity, warc
+from tessera.llm import decontaminate, html_text, jaccard_join, quality, secrets, toxicity, warc
 
-OPERATORS = (decontaminate, jaccard_join, html_text, quality, toxicity, warc)
+OPERATORS = (decontaminate, jaccard_join, html_text, quality, secrets, toxicity, warc)
 QUERIES = {name: query for operator in OPERATORS for name, query in operator.QUERIES.items()}
 ORACLE = {name: sql for operator in OPERATORS for name, sql in operator.ORACLE.items()}
