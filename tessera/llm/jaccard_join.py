@@ -210,33 +210,62 @@ def _deal_sets(buckets: int):
     return run
 
 
-def _frequencies(table: pa.Table) -> pa.Table:
-    """Of a bucket: per set, its shared tokens (with the bucket put back on top) and their frequencies."""
-    bucket = table["bucket"][0].as_py() if table.num_rows else 0
-    fp, token, df = _shared_entries(table)
-    order = np.lexsort((token, fp))
-    fp, token, df = fp[order], token[order] | (K.U64(bucket) << K.U64(48)), df[order]
-    at = _runs(fp)
-    off = pa.array((at * 8).astype(np.int32))
-    blob = lambda x: pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, off.buffers()[1], pa.py_buffer(np.ascontiguousarray(x).tobytes())])
-    return pa.table({"fp": fp[at[:-1]], "tokens": blob(token), "dfs": blob(df.astype(np.int64))})
+def _blobs(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """values cut at ``at`` (begin of each piece, and the end) as a binary column."""
+    ends = pa.array((at * values.dtype.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, ends.buffers()[1], pa.py_buffer(values.tobytes())])
+
+
+def _frequencies(groups: int):
+    """A bucket's shared tokens (the bucket put back on top) and their frequencies, packed by group of sets.
+
+    Every set of the bucket also has its count of tokens there, shared or not: they add up to its size.
+    """
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py() if table.num_rows else 0
+        all_fp, counted = np.unique(_undeal(table)[0], return_counts=True)
+        fp, token, df = _shared_entries(table)
+        order = np.lexsort((fp, _group(fp, groups)))
+        fp, token, df = fp[order], token[order] | (K.U64(bucket) << K.U64(48)), df[order].astype(np.int32)
+        own = np.argsort(_group(all_fp, groups), kind="stable")
+        all_fp, counted = all_fp[own], counted[own].astype(np.int32)
+        every = np.unique(_group(all_fp, groups))
+        ends = lambda x: np.append(np.searchsorted(_group(x, groups), every), len(x))
+        return pa.table({"grp": every.astype(np.int32), "sets": _blobs(all_fp, ends(all_fp)), "counts": _blobs(counted, ends(all_fp)), "fp": _blobs(fp, ends(fp)), "tokens": _blobs(token, ends(fp)), "dfs": _blobs(df, ends(fp))})
+
+    return run
+
+
+def _group(fp: np.ndarray, groups: int) -> np.ndarray:
+    return (fp.view(np.uint64) % K.U64(groups)).astype(np.int64)
+
+
+PACKED = "grp int, sets binary, counts binary, fp binary, tokens binary, dfs binary"
+SETS = "fp bigint, n bigint, central double, tokens binary, prefix binary"
 
 
 def _assemble(at_least: int, per: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: dict[str, list] = {"fp": [], "n": [], "central": [], "tokens": [], "prefix": []}
-            for fp, n, parts in zip(b.column("fp").to_pylist(), b.column("n").to_pylist(), b.column("parts").to_pylist(), strict=True):
-                tokens = np.frombuffer(b"".join(p["tokens"] for p in parts), np.uint64)
-                df = np.frombuffer(b"".join(p["dfs"] for p in parts), np.int64)
-                least = -(-at_least * n // per)
-                if len(tokens) < least:
-                    continue
-                order = np.lexsort((tokens, df))
-                prefix = tokens[order[: max(0, n - least + 1 - (n - len(tokens)))]]
-                for c, v in zip(rows.values(), (fp, n, float(np.log(df).sum() / n), np.sort(tokens).tobytes(), prefix.tobytes()), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()), strict=True)], names=list(rows))
+    """The sets of a group that share enough: all their shared tokens, and the prefix, rarest first."""
+    def run(table: pa.Table) -> pa.Table:
+        of = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
+        sets, where = np.unique(of("sets", np.int64), return_inverse=True)
+        n = np.bincount(where, of("counts", np.int32), len(sets)).astype(np.int64)
+        fp, token, df = of("fp", np.int64), of("tokens", np.uint64), of("dfs", np.int32)
+        who = np.searchsorted(sets, fp)
+        shared = np.bincount(who, minlength=len(sets))
+        least = -(-at_least * n // per)
+        keep = shared >= np.maximum(least, 1)
+        mine = keep[who]
+        who, token, df = who[mine], token[mine], df[mine]
+        kept = np.flatnonzero(keep)
+        central = np.bincount(who, np.log(df), len(sets))[kept] / n[kept]
+        by_value = np.lexsort((token, who))
+        at = np.append(0, np.cumsum(shared[kept]))
+        by_df = np.lexsort((token, df, who))
+        rank = np.arange(len(who)) - np.repeat(at[:-1], shared[kept])
+        length = np.maximum(0, (shared - least + 1)[kept])
+        first = by_df[rank < np.repeat(length, shared[kept])]
+        return pa.table({"fp": sets[kept], "n": n[kept], "central": central, "tokens": _blobs(token[by_value], at), "prefix": _blobs(token[first], np.append(0, np.cumsum(np.minimum(length, shared[kept]))))})
 
     return run
 
@@ -416,9 +445,8 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     # 2. index
     tokens = sets.agg(F.sum("n")).first()[0] or 0
     buckets = min(1 << 16, max(least, -(-tokens // BUCKET_TOKENS)))
-    parts = sets.mapInArrow(_deal_sets(buckets), Dealer.SCHEMA).groupBy("bucket").applyInArrow(_frequencies, "fp bigint, tokens binary, dfs binary")
-    gathered = parts.groupBy("fp").agg(F.collect_list(F.struct("tokens", "dfs")).alias("parts")).join(left, "fp")
-    sets = written(gathered.mapInArrow(_assemble(at_least, per), "fp bigint, n bigint, central double, tokens binary, prefix binary"))
+    packed = sets.mapInArrow(_deal_sets(buckets), Dealer.SCHEMA).groupBy("bucket").applyInArrow(_frequencies(buckets), PACKED)
+    sets = written(packed.groupBy("grp").applyInArrow(_assemble(at_least, per), SETS))
     # 3. stars
     classes = sets.select("fp", F.col("fp").alias("label"), F.col("fp").alias("pivot"), F.lit(0.0).alias("near"))
     links = None
