@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +45,49 @@ def fold_bucket(key: Column, modulus: int) -> Column:
 
 def partitions_for(n_bytes: int, per_partition: int, least: int = 1) -> int:
     return max(least, -(-int(n_bytes) // per_partition))
+
+
+#: Bits of the filters that spare most rows a shuffle (fixed size: 4 MB each, whatever the input).
+FILTER_BITS = 1 << 25
+
+
+def _bit(values: np.ndarray) -> np.ndarray:
+    h = values.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(39)).astype(np.int64)
+
+
+def _bits_of(batches):
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for b in batches:
+        slot = _bit(b.column(0).to_numpy(zero_copy_only=False))
+        np.bitwise_or.at(bits, slot >> 3, np.left_shift(1, slot & 7).astype(np.uint8))
+    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap that has the bit of every id of the (one, bigint, non-null) column."""
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in ids.coalesce(16).mapInArrow(_bits_of, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(row[0], np.uint8)
+    return bits
+
+
+def without_ids(df: DataFrame, key: str, removed: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """``df`` without the rows whose key is in ``removed`` (one column); keys in ``once`` keep one row.
+
+    Rows that a fixed-size filter shows to be in neither stay where they are; only the others are
+    shuffled for the exact join. Rows without a key stay.
+    """
+    ids = removed.select(F.col(removed.columns[0]).cast("bigint").alias("id")).where("id is not null")
+    both = ids if once is None else ids.union(once.select(F.col(once.columns[0]).cast("bigint").alias("id")).where("id is not null"))
+    sent = df.sparkSession.sparkContext.broadcast(id_filter(both).tobytes())
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        bits = np.frombuffer(sent.value, np.uint8)
+        slot = _bit(keys.fillna(0).to_numpy(dtype=np.int64))
+        return pd.Series(((bits[slot >> 3] >> (slot & 7)) & 1).astype(bool) & keys.notna().to_numpy())
+
+    flag = maybe(F.col(key).cast("bigint"))
+    rest = df.where(flag).join(ids.withColumnRenamed("id", "__id").distinct(), F.col(key) == F.col("__id"), "left_anti")
+    return df.where(~flag).union(rest if once is None else rest.dropDuplicates([key]))

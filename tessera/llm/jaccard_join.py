@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import kernel as K
-from tessera.llm.common import read, written
+from tessera.llm.common import read, without_ids, written
 
 WIDTH = 5
 #: Link when PER * intersection >= AT_LEAST * union.
@@ -490,6 +490,18 @@ def near_duplicate_components(docs: DataFrame, **options) -> DataFrame:
     return documents.join(known, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def remove_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
+    """The documents without those that links join to one of a smaller id, with all their columns.
+
+    Of rows that repeat an id one stays (an id goes only if none of its rows is its group's smallest);
+    rows without an id stay, as do empty texts.
+    """
+    ids = written(near_duplicate_components(docs, doc_id=doc_id, **options))
+    by_id = ids.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("keeps"), F.count("*").alias("n"))
+    by_id = written(by_id.where("not keeps or n > 1"))
+    return without_ids(docs, doc_id, by_id.where("not keeps").select("doc_id"), by_id.where("n > 1").select("doc_id"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -198,8 +198,8 @@ def _score(weights):
     return run
 
 
-def _measured(docs: DataFrame, labels: DataFrame, folds: int, fit_rows: int) -> tuple[DataFrame, np.ndarray]:
-    """Votes and counts of every document, and the weights of the linear classifier."""
+def _measured(docs: DataFrame, labels: DataFrame, folds: int, fit_rows: int):
+    """Votes and counts of every document, the weights of the linear classifier, and the lexicon (sent)."""
     spark = docs.sparkSession
     held = lambda: fold_bucket(F.col("doc_id"), folds) == 0
     known = labels.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held())
@@ -231,17 +231,34 @@ def _measured(docs: DataFrame, labels: DataFrame, folds: int, fit_rows: int) ->
     if fitted.num_rows and n1:
         votes = fitted["votes"].to_numpy()
         weights = fit_linear(design(votes, np.stack(fitted["counts"].to_numpy())), model.posterior(votes))
-    return measured, weights
+    return measured, weights, lexicon
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted; rows of fold 0 never train."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    measured, weights = _measured(docs, labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y")), folds, fit_rows)
+    measured, weights, _ = _measured(docs, labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y")), folds, fit_rows)
     scored = measured.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(weights)), "doc_id bigint, score double")
     return scored.select("doc_id", (fold_bucket(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
+def _clean(lexicon, weights, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, buf, off in K.chunks(batches, text):
+            votes, counts = lexicon.value.measure(buf, off)
+            x = design((votes << np.arange(len(VOTERS))).sum(1), counts)
+            yield from table.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ weights.value, -500, 500))) < CUT)).to_batches()
+
+    return run
+
+
+def remove_toxic(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The documents that are not predicted toxic, with all their columns; rows are judged where they lie."""
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    _, weights, lexicon = _measured(own, labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y")), folds, fit_rows)
+    return docs.mapInArrow(_clean(lexicon, docs.sparkSession.sparkContext.broadcast(weights), text), docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
