@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import tabular
+from tessera.plans import graphs, grouping, lists, multisets, positional, scalars, streams, tabular, variants
 
-FAMILIES = (tabular,)
+FAMILIES = (tabular, scalars, positional, grouping, lists, variants, multisets, graphs, streams)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLE = {name: sql for family in FAMILIES for name, sql in family.ORACLE.items()}
