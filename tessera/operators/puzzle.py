@@ -10,7 +10,7 @@ from tessera.operators.fixpoint import iterate
 
 def board(spark: SparkSession, text: str) -> DataFrame:
     """(row, col, val) candidates of an 81-character board; 0 or . is an open cell."""
-    cells = spark.createDataFrame([(i // 9, i % 9, int(c) if c.isdigit() else 0) for i, c in enumerate(text)], "row int, col int, clue int")
+    cells = spark.createDataFrame([(i // 9, i % 9, int(c) if c.isdigit() else 0) for i, c in enumerate(text)], "row int, col int, clue int").coalesce(1)
     return cells.select("row", "col", F.explode(F.when(F.col("clue") > 0, F.array("clue")).otherwise(F.sequence(F.lit(1), F.lit(9)))).alias("val"))
 
 
@@ -27,7 +27,8 @@ def propagate(candidates: DataFrame) -> DataFrame:
         gone = mine.join(taken, ["unit", "val"]).where("row <> r0 or col <> c0").select("row", "col", "val").distinct()
         return candidates.join(gone, ["row", "col", "val"], "left_anti")
 
-    return iterate(candidates, step, lambda a, b: b.join(a, ["row", "col", "val"], "left_anti").union(a.join(b, ["row", "col", "val"], "left_anti")))
+    mark = lambda s: s.agg(F.count("*"), F.sum(F.xxhash64("row", "col", "val").cast("decimal(38,0)")))
+    return iterate(candidates, step, lambda a, b: mark(b).exceptAll(mark(a)))
 
 
 def histogram(candidates: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ _truss = f"""e as (select distinct least(src, dst) u, greatest(src, dst) v from
 t as (select x.u a, x.v b, y.v c from e x join e y on x.v = y.u join e z on z.u = x.u and z.v = y.v),
 rows_ as (select row(a, b) e, row(a, c) x, row(b, c) y from t union all select row(a, c), row(a, b), row(b, c) from t union all select row(b, c), row(a, b), row(a, c) from t),
 r(i, e, l) as (select 0, e, 2147483648::bigint from (select distinct e from rows_)
- union all select i + 1, e, max(least(m, n)) from (select s.i, s.e, s.m, row_number() over (partition by s.i, s.e order by s.m desc) n from (select p.i, k.e, least(p.l, q.l) m from rows_ k join r p on p.e = k.x join r q on q.e = k.y) s) where i < 12 group by i, e)"""
+ union all select i + 1, e, max(least(m, n)) from (select s.i, s.e, s.m, row_number() over (partition by s.i, s.e order by s.m desc) n from (select p.i, k.e, least(p.l, q.l) m from rows_ k join r p on p.e = k.x join r q on q.e = k.y) s) where i < 40 group by i, e)"""
 ORACLE = {
     "pagerank_20": f"""with recursive e as (select * from {GRAPH}), deg as (select src, count(*) d from e group by src),
 nx as (select e.src, e.dst, deg.d from e join deg using (src) union all select src, src, null from deg),
@@ -137,8 +137,8 @@ select node, rnk "rank" from r where i = 20 and rnk > 0""",
     "triangles_undirected": f"with e as (select distinct least(src, dst) u, greatest(src, dst) v from {GRAPH}) select x.u a, x.v b, y.v c from e x join e y on x.v = y.u join e z on z.u = x.u and z.v = y.v",
     "triangles_directed": f"with e as (select * from {GRAPH} where src < {2 * SPARSE} and dst < {2 * SPARSE}) select x.src a, x.dst b, y.dst c from e x join e y on x.src = y.src join e z on z.src = x.dst and z.dst = y.dst",
     "triangles_wco_synthetic": "select 3 * 49999::bigint n, s sa, s sb, s sc from (select (sum(k) + sum(k + 1))::bigint s from range(1, 50000) t(k))",
-    "ktruss": f"with recursive {_truss} select e[1] src, e[2] dst, l label from r where i = 12",
-    "ktruss_histogram": f"with recursive {_truss} select l label, count(*) edges from r where i = 12 group by l",
+    "ktruss": f"with recursive {_truss} select e[1] src, e[2] dst, l label from r where i = 40",
+    "ktruss_histogram": f"with recursive {_truss} select l label, count(*) edges from r where i = 40 group by l",
     "pointer_jump": "select i node, greatest(i - 8, i - i % 100) parent from range(5000) t(i)",
     "cse_round": "select id, sk, disc, min(id) over (partition by sk, disc) class from (select l_suppkey sk, round(l_discount * 100)::bigint disc, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, round(l_discount * 100)::bigint, round(l_extendedprice * 100)::bigint) - 1 id from lineitem)",
     "sudoku": "select i // 9 \"row\", i % 9 \"col\", 1::bigint n, '534678912672195348198342567859761423426853791713924856961537284287419635345286179'[i + 1]::bigint val from range(81) t(i)",

@@ -17,15 +17,12 @@ def column(spark: SparkSession, tag: str, values: Sequence, name: str = "value",
     return spark.createDataFrame(list(enumerate(values)), schema)
 
 
-def edge_list(spark: SparkSession, path: str, header_lines: int = 2) -> DataFrame:
-    """(src, dst, time) of a text file of ``src dst weight time`` lines.
+def edge_list(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst, time) of text files of ``src dst weight time`` lines.
 
-    The header is what stands in the first ``header_lines`` lines, or starts with % or #, of each file;
-    a line that is not four numbers is no edge.
+    Header lines start with % or #; a line that is not four numbers is no edge.
     """
-    lines = spark.read.text(path)
-    if header_lines:
-        lines = lines.where(~F.col("value").rlike(r"^\s*[%#]"))
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*[%#]"))
     parts = F.split(F.trim("value"), r"\s+")
     numbers = [parts[k].try_cast("double").cast("bigint") for k in (0, 1, 3)]
     return lines.select(F.size(parts).alias("n"), *(n.alias(a) for n, a in zip(numbers, ("src", "dst", "time"), strict=True))).where("n = 4 and src is not null and dst is not null and time is not null").select("src", "dst", "time")
