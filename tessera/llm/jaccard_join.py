@@ -506,7 +506,17 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-ORACLE = {}
+ORACLE = {
+    "op3_jaccard_join": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i from d where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 75 * (a.n + b.n - c)),
+e as (select x, y from l union select y, x from l),
+r(a, b) as (select x, x from e union select r.a, e.y from r join e on r.b = e.x)
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, coalesce(m.c, d.doc_id) component_id from d left join n using (doc_id) left join (select a doc_id, min(b) c from r group by a) m using (doc_id)"""
+}
 QUERIES = {"op3_jaccard_join": op3_jaccard_join}
 
 

@@ -349,8 +349,29 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     docs = docs.select("doc_id", (fold_bucket(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     model = train(docs.where(~F.col("held_out")).select("text"))
-    return score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rounded = [F.round(c, 6).alias(c) for c in ("base_score", "score")]  # sums of logarithms: alike in any order to six places
+    return score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", *rounded)
 
 
 QUERIES = {"op6_kneser_ney": op6_kneser_ney}
-ORACLE = {}
+_discount = lambda src: f"""select 1 - 2 * y * n2 / n1 e1, 2 - 3 * y * n3 / n2 e2, 3 - 4 * y * n4 / n3 e3 from (select *, n1 / (n1 + 2 * n2) y from
+  (select count(*) filter (n = 1)::double n1, count(*) filter (n = 2)::double n2, count(*) filter (n = 3)::double n3, count(*) filter (n = 4)::double n4 from {src}))"""
+_clip = lambda src: f"select least(greatest(e1, 0.05), 0.95) d1, least(greatest(e2, 0.05), 1.95) d2, least(greatest(e3, 0.05), 2.95) d3 from ({_discount(src)})"
+#: crc32 in SQL: eight table steps a byte, the table itself from the polynomial.
+_CRC = """crc_t as (with recursive t(i, k, c) as (select i::bigint, 0, i::bigint from range(256) x(i) union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from t where k < 8) select list(c order by i) tab from t where k = 8),
+crc as (select doc_id, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(coalesce(doc_id::varchar, ''), ''), lambda ch: ascii(ch)::bigint)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) crc from (select distinct doc_id from documents), crc_t)"""
+ORACLE = {
+    "op6_kneser_ney": rf"""
+with {_CRC},
+d as (select doc_id, crc % 7 = 2 held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) w from documents join crc using (doc_id)),
+t as (select doc_id, held_out, case when i = 1 then chr(9) else w[i - 1] end v, w[i] w from (select *, unnest(range(1, len(w) + 1)) i from d)),
+b as (select v, w, count(*) n from t where not held_out group by v, w),
+u as (select w, count(*) n, sum(n)::bigint raw from b group by w),
+c as (select v, sum(n)::double tot, count(*) filter (n = 1) k1, count(*) filter (n = 2) k2, count(*) filter (n > 2) k3 from b group by v),
+g as (select sum(raw)::double big_n, count(*)::double big_v, sum(n)::double a, count(*) filter (n = 1) m1, count(*) filter (n = 2) m2, count(*) filter (n > 2) m3 from u),
+hi as ({_clip("b")}), lo as (select d1 f1, d2 f2, d3 f3 from ({_clip("u")})),
+s as (select t.*, coalesce(u.raw, 0) raw, (case when u.n is null then 0 else u.n - case u.n when 1 then f1 when 2 then f2 else f3 end end) / a + (f1 * m1 + f2 * m2 + f3 * m3) / a / (big_v + 1) low,
+  case when b.n is null then 0 else b.n - case b.n when 1 then d1 when 2 then d2 else d3 end end num, coalesce(tot, 1) tot, case when c.v is null then 1 else (d1 * k1 + d2 * k2 + d3 * k3) / tot end gam, big_n, big_v
+  from t left join u on u.w = t.w left join b on b.v = t.v and b.w = t.w left join c on c.v = t.v, g, hi, lo)
+select doc_id, held_out, count(*) n_tokens, count(*) filter (raw > 0) n_known, any_value(big_n)::bigint train_tokens, round(sum(log10((raw + 1) / (big_n + big_v + 1))), 6) base_score, round(sum(log10(num / tot + gam * low)), 6) score from s group by doc_id, held_out"""
+}
