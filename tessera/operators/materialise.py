@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL_DEFAULT = "/tmp/checkpoints"
+LOCAL_DEFAULT = f"/tmp/checkpoints/{uuid.uuid4().hex}"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -16,6 +18,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         base = LOCAL_DEFAULT
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(base)
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
     return base.rstrip("/")
 
 
