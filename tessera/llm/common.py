@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tessera.operators.materialise import checkpoint_folder, materialise
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -23,19 +25,11 @@ def arrow_type(schema: T.StructType) -> pa.Schema:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share; in tests a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/checkpoints"
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, and survives lost executors."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Write to the shared folder and read again: cuts the lineage, and survives lost executors.
+written = materialise
 
 
 def fold_bucket(key: Column, modulus: int) -> Column:
@@ -43,10 +37,6 @@ def fold_bucket(key: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def partitions_for(n_bytes: int, per_partition: int, least: int = 1) -> int:
-    return max(least, -(-int(n_bytes) // per_partition))
-
-
 #: Bits of the filters that spare most rows a shuffle (fixed size: 4 MB each, whatever the input).
 FILTER_BITS = 1 << 25
 
