@@ -33,7 +33,7 @@ BITS48 = K.U64((1 << 48) - 1)
 #: The end of a text, and what stands before its first word.
 END, START = K.U64(0x0E0D0E0D0E0D), K.U64(0x571A27571A27)
 #: Tokens that a task sums before dealing them out, and tokens of a bucket.
-FLUSH_TOKENS, BUCKET_TOKENS = 3_000_000, 2_000_000
+FLUSH_TOKENS, BUCKET_TOKENS = 2_000_000, 1_500_000
 #: Contexts with this share of a task's tokens are dealt by pair.
 HOT_SHARE = 1 / 1000
 FOLDS, HELD = 7, 2
