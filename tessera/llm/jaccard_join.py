@@ -41,6 +41,8 @@ FLUSH_TOKENS = 3_000_000
 #: Bits of the filter that the second reading of the texts is screened with (fixed: 4 MB).
 FILTER_BITS = 1 << 25
 STAR_ROUNDS = 2
+#: Classes of several sets are sent to all tasks while they take no more than this; bytes of one.
+BROADCAST_BYTES, CLASS_BYTES = 8 << 20, 64
 LOW48 = K.U64((1 << 48) - 1)
 
 
@@ -484,9 +486,10 @@ def near_duplicate_components(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     documents, classes, _ = jaccard_join(docs, **options)
     of_set = documents.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    # most classes are one set: only the others need the second grouping's shuffle to matter
-    smallest = of_set.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = of_set.join(smallest, "component").select("fp", "component_id")
+    # most classes are one set; the others' smallest ids go to all tasks if they are few, else AQE splits a large class
+    smallest = written(of_set.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("sets")).where("sets > 1").select("component", "component_id"))
+    few = smallest.count() * CLASS_BYTES <= BROADCAST_BYTES
+    known = of_set.join(F.broadcast(smallest) if few else smallest, "component", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return documents.join(known, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
