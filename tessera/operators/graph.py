@@ -220,3 +220,56 @@ def churn(spark, n_nodes: int, n_edges: int, batch: int, rounds: int, seed: int
     added = spark.range(n_edges, n_edges + batch * rounds).select(*edge, F.lit(1).cast("bigint").alias("diff"), epoch(n_edges))
     gone = spark.range(0, batch * rounds).select(*edge, F.lit(-1).cast("bigint").alias("diff"), epoch(0))
     return first.union(added).union(gone)
+
+
+def k_truss_peeling(edges: DataFrame) -> DataFrame:
+    """As ``k_truss``, level by level: edges with fewer than k triangles left go, and carry label k - 1.
+
+    More rounds than the h-index loop; the two agree (tested).
+    """
+    t = materialise(triangles(edges).withColumn("id", F.monotonically_increasing_id()))
+    corners = (("a", "b"), ("a", "c"), ("b", "c"))
+    member = None
+    for x, y in corners:
+        part = t.select(F.struct(F.col(x).alias("src"), F.col(y).alias("dst")).alias("e"), "id")
+        member = part if member is None else member.union(part)
+    member, level, done = materialise(member), 1, None
+    while True:
+        support = member.groupBy("e").agg(F.count("*").alias("n"))
+        weak = materialise(support.where(F.col("n") <= level).select("e"))
+        if weak.isEmpty():
+            if member.isEmpty():
+                return done.select("e.src", "e.dst", F.col("label"))
+            level += 1
+            continue
+        gone = weak.select("e", F.lit(level).cast("bigint").alias("label"))
+        broken = member.join(weak, "e", "left_semi").select("id").distinct()
+        left = materialise(member.join(broken, "id", "left_anti"))
+        # edges whose last triangle just broke leave at this level too
+        alive = left.select("e").distinct()
+        lost = member.select("e").distinct().join(alive, "e", "left_anti").join(weak, "e", "left_anti").select("e", F.lit(level).cast("bigint").alias("label"))
+        done = gone.union(lost) if done is None else done.union(gone).union(lost)
+        done, member = materialise(done), left
+
+
+class GraphSession:
+    """A graph laid out once (forward, reverse, nodes, degrees) and asked many questions."""
+
+    def __init__(self, edges: DataFrame):
+        self.edges = materialise(edges.select("src", "dst").distinct().repartition("src"))
+        self.reverse = materialise(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).repartition("src"))
+        self.sources = materialise(self.edges.select(F.col("src").alias("node")).distinct())
+        self.commands = {
+            "pagerank": lambda rounds=20: pagerank(self.edges, int(rounds)),
+            "neighborhood": lambda root, steps=2: k_hop(self.edges, self._nodes(root), int(steps)),
+            "components": lambda: components(self.edges, self.sources),
+            "sizes": lambda: component_sizes(components(self.edges, self.sources)),
+            "distance": lambda src, dst: pair_distances(self.edges, self.edges.sparkSession.createDataFrame([(int(src), int(dst))], "src bigint, dst bigint")),
+            "triangles": lambda: directed_triads(self.edges),
+        }
+
+    def _nodes(self, *ids) -> DataFrame:
+        return self.edges.sparkSession.createDataFrame([(int(i),) for i in ids], "node bigint")
+
+    def run(self, command: str, *args) -> DataFrame:
+        return self.commands[command](*args)

@@ -136,3 +136,47 @@ def sessions(df: DataFrame, at: Column, gap, *, by: Sequence[str], order: Sequen
 def top_per_group(df: DataFrame, n: int, by: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
     rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
     return df.withColumn(name, rank.cast("bigint")).where(F.col(name) <= n)
+
+
+def flatten(lists: DataFrame, row: str, column: str, pos: str = "pos", ranges: int | None = None) -> DataFrame:
+    """The elements of a ragged column in order: (row, at, value, pos), pos over the whole flat column."""
+    flat = lists.select(F.col(row), F.posexplode(column).alias("at", "value")).withColumn("at", F.col("at").cast("bigint"))
+    return with_position(flat, F.col(row), F.col("at"), name=pos, ranges=ranges)
+
+
+def list_ranges(lists: DataFrame, row: str, column: str, ranges: int | None = None) -> DataFrame:
+    """Of each row, the half-open range [lo, hi) of its elements in the flat column."""
+    sized = lists.select(row, F.size(column).cast("bigint").alias("__n"))
+    return running(sized, F.col("__n"), F.col(row), name="hi", ranges=ranges).select(row, (F.col("hi") - F.col("__n")).alias("lo"), "hi")
+
+
+def nest(flat: DataFrame, bounds: DataFrame, row: str = "row", value: str = "value", pos: str = "pos", ranges: int | None = None) -> DataFrame:
+    """Lists from a flat column and rows with [lo, hi): the inverse of ``flatten`` and ``list_ranges``.
+
+    Bounds that tile the column are looked up by search, so nothing is joined by range; rows of no
+    elements are empty lists.
+    """
+    starts = bounds.where("lo < hi").select(F.col(row), F.col("lo").alias("k"))
+    place = lower_bound(flat.withColumn("k", F.col(pos)), starts.select("k"), "k", "__owner", upper=True, ranges=ranges)
+    numbered = with_position(starts, F.col("k"), name="__owner", ranges=ranges).select(row, (F.col("__owner") + 1).alias("__owner"))
+    lists = place.join(numbered, "__owner").groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, value))), lambda x: x[value]).alias("list"))
+    return bounds.select(row).join(lists, row, "left").withColumn("list", F.coalesce("list", F.array().cast(lists.schema["list"].dataType)))
+
+
+def nest_stride(flat: DataFrame, stride: int, value: str = "value", pos: str = "pos") -> DataFrame:
+    """Rectangular lists of ``stride`` elements; fails if the column's length does not divide."""
+    lists = flat.groupBy(F.floor(F.col(pos) / stride).alias("row")).agg(F.array_sort(F.collect_list(F.struct(pos, value))).alias("l"))
+    whole = F.assert_true(F.size("l") == stride, F.lit("length does not divide"))
+    return lists.select("row", F.when(whole.isNull(), F.transform("l", lambda x: x[value])).alias("list"))
+
+
+def enlist(df: DataFrame, value: str, pos: str = "pos") -> DataFrame:
+    """The whole column as one row's list: for columns that fit a row."""
+    return df.agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, value))), lambda x: x[value]).alias("list"))
+
+
+def unlist(lists: DataFrame, column: str = "list") -> DataFrame:
+    """The elements of a one-row ragged column; fails on more rows than one."""
+    one = lists.groupBy().agg(F.count("*").alias("n"), F.first(column).alias("l"))
+    fine = F.assert_true(F.col("n") == 1, F.lit("not one row"))
+    return one.select(F.posexplode(F.when(fine.isNull(), F.col("l"))).alias("pos", "value")).withColumn("pos", F.col("pos").cast("bigint"))

@@ -24,6 +24,14 @@ def nest_flatten(spark, sf):
     return rows.select("row", F.array_join(F.transform("l", lambda x: x["q"]), ",").alias("l"))
 
 
+def nest_bounds(spark, sf):
+    """Flat elements put back into their rows by bounds alone."""
+    few = _few(spark, sf)
+    flat = seq.flatten(few, "ok", "b").select("pos", "value")
+    back = seq.nest(flat, seq.list_ranges(few, "ok", "b"), row="ok")
+    return back.select("ok", F.array_join("list", ",").alias("l"))
+
+
 def bounds_ranges_keys(spark, sf):
     """Per row the (lo, hi) of its elements in the flattened column."""
     sized = _few(spark, sf).select("ok", F.size("b").cast("bigint").alias("n"))
@@ -133,11 +141,12 @@ def big_fold(spark, sf):
     return marked.groupBy("user_id").agg(F.sum("new").alias("records"), F.max("v").alias("best"))
 
 
-QUERIES = {f.__name__: f for f in (nest_flatten, bounds_ranges_keys, count_len, head, chunk, append, slices, cap_list, zip_lists, transpose, list_arith, map_nested, flatten_ranges, list_scans, list_find, list_gather, enlist, fold_stats, foldscan_records, big_fold)}
+QUERIES = {f.__name__: f for f in (nest_flatten, nest_bounds, bounds_ranges_keys, count_len, head, chunk, append, slices, cap_list, zip_lists, transpose, list_arith, map_nested, flatten_ranges, list_scans, list_find, list_gather, enlist, fold_stats, foldscan_records, big_fold)}
 _n = f"(select *, row_number() over (partition by ok order by ln, pk, sk, qty, price, disc) - 1 i, count(*) over (partition by ok) n from {LINES} where ok % 3 = 0)"
 _records = "select user_id, sum(new)::bigint records, max(v) best from (select user_id, v, (b is null or v > b)::bigint new from (select user_id, v, max(v) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) b from (select *, round(value * 100)::bigint v from events))) group by user_id"
 ORACLE = {
     "nest_flatten": f"select pos // 4 \"row\", string_agg(qty, ',' order by pos) l from (select qty, row_number() over (order by ok, i) - 1 pos from {_n}) group by 1",
+    "nest_bounds": f"select ok, string_agg(qty, ',' order by i) l from {_n} group by ok",
     "bounds_ranges_keys": f"select ok, (hi - n)::bigint lo, hi from (select ok, n, sum(n) over (order by ok)::bigint hi from (select ok, count(*) n from {_n} group by ok))",
     "count_len": f"select ok, count(*) n from {_n} group by ok",
     "head": f"select ok, pk \"first\" from {_n} where i = 0",

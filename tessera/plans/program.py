@@ -616,7 +616,10 @@ class Reader:
         if name == ".":
             return v.field(self.number())
         if name == "map":
-            return self.lambdas(env, lambda f: over_list(v, f))
+            return self.mapped(v, env)
+        if name == "transpose" and self.peek("zip") and len(need(v, List).item.fields) == 2:
+            self.take()  # taken apart and put together again: nothing to do
+            return v
         if name == "map_variant":
             k = self.tag()
             if need(v, Sum).lanes[k] is None:  # nothing is ever on this lane
@@ -643,6 +646,24 @@ class Reader:
             return PLAIN[name](made([v, literal(v, self.number(), v.shape.kind)]))
         return bound(v, PLAIN[name]) if name not in ("unit", "len") else PLAIN[name](v)
 
+    def mapped(self, v: Value, env: dict) -> Value:
+        """A run of maps is one map of the composed body: each list is walked once."""
+        begins = [self.skip_lambda()]
+        while self.peek("map"):
+            self.take()
+            begins.append(self.skip_lambda())
+        end = self.at
+
+        def body(x: Value) -> Value:
+            for begin in begins:
+                self.at = begin
+                x = self.lambdas(env, lambda f, x=x: f(x) if x.err is None and isinstance(x.shape, (Num, Unit)) else bound(x, f))
+            return x
+
+        out = over_list(v, body)
+        self.at = end
+        return out
+
     def match(self, v: Value, env: dict) -> Value:
         self.take("(")
         places: list[tuple[int, int]] = []
@@ -700,6 +721,29 @@ class Reader:
         return Value(Prod((seed.shape, List(out_shape))), F.struct(done["s"].alias("_0"), done["o"].alias("_1")), err)
 
 
+def register(name: str, f) -> None:
+    """Add an operator (Value -> Value) to the vocabulary; built-in names cannot be replaced."""
+    if name in PLAIN or name in NUMBERED:
+        raise ProgramError(f"{name!r} is taken")
+    PLAIN[name] = f
+
+
+def pretty(s, rows: list) -> str:
+    """Rows of a shape written column by column."""
+    join = lambda xs: ", ".join(map(str, xs))
+    if isinstance(s, Num):
+        return f"[{join(x + (1 << 64) if s.kind == 'u64' and x < 0 else x for x in rows)}]"
+    if isinstance(s, Unit):
+        return f"()x{len(rows)}"
+    if isinstance(s, Prod):
+        return f"({join(pretty(f, [r[i] for r in rows]) for i, f in enumerate(s.fields))})"
+    if isinstance(s, List):
+        ends = [sum(map(len, rows[: i + 1])) for i in range(len(rows))]
+        return f"List ends=[{join(ends)}] <{pretty(s.item, [x for r in rows for x in r])}>"
+    lanes = ["⊥" if f is None else pretty(f, [r[i + 1] for r in rows if r[0] == i]) for i, f in enumerate(s.lanes)]
+    return f"Sum tags=[{join(r[0] for r in rows)}] [{join(lanes)}]"
+
+
 class Program:
     """A program's text, ready to be applied to a column of whole numbers."""
 

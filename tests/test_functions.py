@@ -228,3 +228,33 @@ def test_readers(spark, tmp_path):
     col = readers.column(spark, "u8", [1, 255])
     readers.save(col, str(tmp_path / "p"))
     assert readers.load(spark, str(tmp_path / "p")).dtypes == col.dtypes
+
+
+def test_nest_inverts_flatten(spark):
+    lists = spark.createDataFrame([(0, [1, 2]), (1, []), (2, [3]), (3, []), (4, [4, 5, 6])], "row bigint, l array<bigint>")
+    flat = seq.flatten(lists, "row", "l", ranges=3)
+    bounds = seq.list_ranges(lists, "row", "l", ranges=2)
+    assert sorted((r.row, r.lo, r.hi) for r in bounds.collect()) == [(0, 0, 2), (1, 2, 2), (2, 2, 3), (3, 3, 3), (4, 3, 6)]
+    back = seq.nest(flat.select("pos", "value"), bounds, ranges=3)
+    assert {r.row: r["list"] for r in back.collect()} == {0: [1, 2], 1: [], 2: [3], 3: [], 4: [4, 5, 6]}
+    assert {r.row: r["list"] for r in seq.nest_stride(flat, 3).collect()} == {0: [1, 2, 3], 1: [4, 5, 6]}
+    one = seq.enlist(flat, "value")
+    assert [r.value for r in seq.unlist(one).orderBy("pos").collect()] == [1, 2, 3, 4, 5, 6]
+    for wrong in (seq.nest_stride(flat, 4), seq.unlist(lists, "l")):
+        with pytest.raises(Exception, match="divide|one row"):
+            wrong.collect()
+
+
+def test_truss_by_peeling_agrees(spark):
+    rng = random.Random(3)
+    edges = spark.createDataFrame(sorted({(rng.randrange(14), rng.randrange(14)) for _ in range(70)}), "src bigint, dst bigint")
+    a, b = ({(r.src, r.dst, r.label) for r in f(edges).collect()} for f in (graph.k_truss, graph.k_truss_peeling))
+    assert a == b and a
+
+
+def test_graph_session(spark):
+    s = graph.GraphSession(spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 5)], "src bigint, dst bigint"))
+    assert [tuple(r) for r in s.run("triangles").collect()] == [(1, 2, 3)]
+    assert {r.dest for r in s.run("neighborhood", 1, 1).collect()} == {1, 2, 3}
+    assert [r.dist for r in s.run("distance", 1, 3).collect()] == [1]
+    assert {(r["size"], r.components) for r in s.run("sizes").collect()} == {(3, 1), (2, 1)}

@@ -2,7 +2,8 @@
 
 import pytest
 
-from tessera.plans.program import Num, Program, ProgramError
+from tessera.__main__ import main
+from tessera.plans.program import Num, Program, ProgramError, Value, pretty, register
 
 
 def run(spark, source, *inputs):
@@ -90,3 +91,29 @@ def test_let_binds_once(spark):
 def test_shapes(spark):
     assert Program("input").shape == Num("u64")
     assert str(Program("input iota map (x -> (x, x gt 1))").shape).count("Num") == 2
+
+
+def test_registered_operators(spark):
+    register("parity", lambda v: Value(v.shape, v.col % 2, v.err))
+    assert run(spark, "input iota map (x -> x parity) fold_add", 5) == [2]
+    with pytest.raises(ProgramError):
+        register("sort", None)
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "p.col").write_text("# doubled\ninput iota map (x -> x mul 2)")
+    assert "List ends=[3] <[0, 2, 4]>" in main([str(tmp_path / "p.col"), "--input", "3", "--time"])
+    (tmp_path / "q.col").write_text("(input, input lit 2 iota) get")
+    assert "1 of 3 rows failed" in main([str(tmp_path / "q.col"), "--rows", "3", "--explain"])
+
+
+def test_pretty(spark):
+    p = Program("enum E = A | B in input iota map (x -> (x, x and 1) branch E map_variant B (o -> o unit))")
+    assert pretty(p.shape, run(spark, p.source, 3)) == "List ends=[3] <Sum tags=[0, 1, 0] [[0, 2], ()x1]>"
+
+
+def test_runs_of_maps_are_one_map(spark):
+    source = "input iota map (x -> (x, x add 1)) map ((a, b) -> (a, b) mul) map (x -> x add 1)"
+    assert run(spark, source, 3) == [[1, 3, 7]]
+    plan = Program(source).apply(spark.range(1), "id")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("transform(sequence") + plan.count("transform(CASE") <= 2
