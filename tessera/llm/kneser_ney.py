@@ -33,9 +33,11 @@ BITS48 = K.U64((1 << 48) - 1)
 #: The end of a text, and what stands before its first word.
 END, START = K.U64(0x0E0D0E0D0E0D), K.U64(0x571A27571A27)
 #: Tokens that a task sums before dealing them out, and tokens of a bucket.
-FLUSH_TOKENS, BUCKET_TOKENS = 2_000_000, 1_500_000
+FLUSH_TOKENS, BUCKET_TOKENS = 1_000_000, 1_000_000
 #: Contexts with this share of a task's tokens are dealt by pair.
 HOT_SHARE = 1 / 1000
+#: Bytes of text that the share is taken of.
+FREQUENT_BYTES = 8 << 20
 FOLDS, HELD = 7, 2
 
 
@@ -84,7 +86,7 @@ def _summed(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The contexts with at least HOT_SHARE of a chunk's tokens."""
     held: dict[int, int] = {}
-    for table, buf, off in K.chunks(batches, "text", 2 * K.CHUNK_BYTES):
+    for table, buf, off in K.chunks(batches, "text", FREQUENT_BYTES):
         tokens, at = tokens_of(buf, off)
         value, count = np.unique(contexts_of(tokens, at), return_counts=True)
         often = count >= max(HOT_SHARE * len(tokens), 2)
@@ -104,11 +106,13 @@ def _deal_pairs(hot, buckets: int):
         def flush():
             context, word = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            key, first, count = _summed(pair_key(context, word), np.ones(len(word), np.int64))
+            key, first, count = _summed(pair_key(context, word), np.ones(len(word), np.int32))
             context, word = context[first], word[first]
-            bucket = pair_bucket(context, key, hot.value, buckets)
+            bucket = pair_bucket(context, key, hot.value, buckets).astype(np.int32)
+            del key, first
             order = np.lexsort((context, bucket))
             context, word, count, bucket = context[order], word[order], count[order], bucket[order]
+            del order
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             rows: list[list] = [[] for _ in range(6)]
             for k in range(buckets):
