@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.plans import stack
 from tessera.plans.common import table
 from tessera.plans.program import Program
 
@@ -32,7 +33,27 @@ def program_words(spark, sf):
     return out.select("o_orderkey", c("result._0").alias("different"), c("result._1").alias("all_"))
 
 
-QUERIES = {f"program_{n}": _applied(s) for n, s in (("squares", SQUARES), ("classes", CLASSES), ("pick", PICK), ("pairs", PAIRS), ("counts", COUNTS), ("running", RUNNING), ("rescue", RESCUE))} | {"program_words": program_words}
+STACK_GROUPED = """
+20000u64 iota :n  n 7u64 mod.u64 :flag  n 50u64 mod.u64 1u64 +.u64 :amount
+n 365u64 mod.u64 250u64 <= :keep
+amount keep where gather  flag keep where gather  group :[key rows]
+key  rows count  rows reduce.+.u64  rows reduce.max.u64  entuple.4"""
+STACK_SESSIONS = "20000u64 iota :n  n n 100u64 /.u64 1000u64 *.u64 +.u64 :ts  ts ts 1u64 shift.u64 -.u64 50u64 > as.u64 cumsum.u64 :s  s 1u64 like s group swap drop count"
+STACK_TOP = "20000u64 iota :n  n 97u64 mod.u64  n 13u64 mod.u64  group sort.segmented reverse.segmented 3u64 take.segmented concat swap drop"
+STACK_SEARCH = "5000u64 iota 3u64 *.u64 5000u64 iota 4u64 *.u64 search"
+STACK_MATCH = "20000u64 iota :n  n n 3u64 mod.u64 branch.3 match { -> 2u64 *.u64 -> 1u64 +.u64 -> }"
+
+
+def _stacked(source):
+    def query(spark, sf):
+        df = stack.run(spark, source)[-1]
+        fields = df.schema["v"].dataType
+        return df.select("pos", "v.*") if hasattr(fields, "fields") else df.select("pos", c("v").cast("bigint").alias("v"))
+
+    return query
+
+
+QUERIES = {f"program_{n}": _applied(s) for n, s in (("squares", SQUARES), ("classes", CLASSES), ("pick", PICK), ("pairs", PAIRS), ("counts", COUNTS), ("running", RUNNING), ("rescue", RESCUE))} | {"program_words": program_words} | {f"stack_{n}": _stacked(s) for n, s in (("grouped", STACK_GROUPED), ("sessions", STACK_SESSIONS), ("top", STACK_TOP), ("search", STACK_SEARCH), ("match", STACK_MATCH))}
 _k = "from (select o_orderkey, o_orderkey & 15 k15, o_orderkey & 7 k7, o_orderkey & 63 k63, o_orderkey & 31 k31, o_orderkey & 3 k3, (o_orderkey >> 3) & 7 s from orders)"
 ORACLE = {
     "program_squares": f"select o_orderkey, ((k15 - 1) * k15 * (2 * k15 - 1) // 6)::bigint result, false err {_k}",
@@ -42,5 +63,10 @@ ORACLE = {
     "program_counts": f"select o_orderkey, (k31 + 3) // 4 result, false err {_k}",
     "program_running": f"select o_orderkey, coalesce(list_sum(list_transform(range(k15), lambda x: x * (x * (x - 1) // 2))), 0)::bigint result, false err {_k}",
     "program_rescue": f"select o_orderkey, case when k15 < k7 then k15 + 1 else 0 end result, false err {_k}",
+    "stack_grouped": "select row_number() over (order by f) - 1 pos, f _0, count(*) _1, sum(a)::bigint _2, max(a) _3 from (select n, n % 7 f, n % 50 + 1 a from range(20000) t(n)) where n % 365 <= 250 group by f",
+    "stack_sessions": "select n pos, 100::bigint v from range(200) t(n)",
+    "stack_top": "select row_number() over (order by f, v desc, n desc) - 1 pos, v from (select n, n % 13 f, n % 97 v, row_number() over (partition by n % 13 order by n % 97 desc, n desc) r from range(20000) t(n)) where r <= 3",
+    "stack_search": "select n pos, least(5000, (4 * n + 2) // 3) v from range(5000) t(n)",
+    "stack_match": "select n pos, case n % 3 when 0 then n * 2 when 1 then n + 1 else n end v from range(20000) t(n)",
     "program_words": "select o_orderkey, 3::bigint different, 6::bigint all_ from orders",
 }
