@@ -35,9 +35,9 @@ WIDTH = 5
 #: Link when PER * intersection >= AT_LEAST * union.
 AT_LEAST, PER = 75, 100
 #: Shingles in one bucket of the screen or the index.
-BUCKET_TOKENS = 1_500_000
+BUCKET_TOKENS = 1_000_000
 #: Entries held by a task before it deals them out.
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 1_500_000
 #: Bits of the filter that the second reading of the texts is screened with (fixed: 4 MB).
 FILTER_BITS = 1 << 25
 STAR_ROUNDS = 2

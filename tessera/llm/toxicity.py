@@ -64,6 +64,7 @@ def _signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of either class with each key, summed over the partition."""
     held: list[np.ndarray] = []
+    limit = 1_500_000
 
     def summed():
         both = np.concatenate(held) if held else np.zeros((0, 4), np.int64)
@@ -80,7 +81,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
         held.append(np.column_stack([keys[new].view(np.int64), kinds[new], y[new] == 0, y[new] == 1]).astype(np.int64))
-        held = [summed()]
+        if sum(map(len, held)) > limit:
+            held = [summed()]
+            limit = max(limit, 2 * len(held[0]))
     rows = summed()
     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], names=["key", "kind", "c0", "c1"])
 
