@@ -14,7 +14,6 @@ replace input columns of the same name.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

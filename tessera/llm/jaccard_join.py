@@ -490,6 +490,7 @@ def near_duplicate_components(docs: DataFrame, **options) -> DataFrame:
     smallest = written(of_set.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("sets")).where("sets > 1").select("component", "component_id"))
     few = smallest.count() * CLASS_BYTES <= BROADCAST_BYTES
     known = of_set.join(F.broadcast(smallest) if few else smallest, "component", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    known = written(known)  # so that the join below has plain exchanges on both sides, which AQE can split
     return documents.join(known, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
