@@ -143,4 +143,18 @@ select node, rnk "rank" from r where i = 20 and rnk > 0""",
     "cse_round": "select id, sk, disc, min(id) over (partition by sk, disc) class from (select l_suppkey sk, round(l_discount * 100)::bigint disc, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, round(l_discount * 100)::bigint, round(l_extendedprice * 100)::bigint) - 1 id from lineitem)",
     "sudoku": "select i // 9 \"row\", i % 9 \"col\", 1::bigint n, '534678912672195348198342567859761423426853791713924856961537284287419635345286179'[i + 1]::bigint val from range(81) t(i)",
     "random_churn": "select 4000::bigint edges",
+    "social_paths": f"""with recursive g as (select src, dst from {_both(SPARSE_GRAPH)} where src <> dst),
+q as (select i * 5 + 1 s, i * 11 + 3 t, 1704067200000 st, 1704067200000 + (i + 1) * 1500000 en from range(8) x(i)),
+f(s, node, d) as (select s, s, 0::bigint from q union select f.s, g.dst, d + 1 from f join g on g.src = node where d < 12),
+b(t, node, d) as (select t, t, 0::bigint from q union select b.t, g.dst, d + 1 from b join g on g.src = node where d < 12),
+df as (select s, node, min(d) d from f group by all), db as (select t, node, min(d) d from b group by all),
+dist as (select distinct q.s, q.t, df.d from q join df on df.s = q.s and df.node = q.t),
+path as (select distinct p.s, p.t, least(g.src, g.dst) a, greatest(g.src, g.dst) b from dist p join df on df.s = p.s join g on g.src = df.node join db on db.t = p.t and db.node = g.dst where df.d + 1 + db.d = p.d),
+e as (select event_id id, user_id creator, event_type in ('view', 'signup') post, epoch_ms(ts) ms from events),
+po as (select id, creator, id % 10 forum from e where post), co as (select id, creator, id - 1 - id % 5 link from e where not post and id >= 10),
+r(id, up) as (select id, link from co union all select r.id, co.link from r join co on co.id = r.up),
+i as (select least(co.creator, o.creator) a, greatest(co.creator, o.creator) b, po.forum, o.score from co join r on r.id = co.id join po on po.id = r.up
+  join (select id, creator, 2 score from po union all select id, creator, 1 from co) o on o.id = co.link where co.creator <> o.creator),
+v as (select path.s, path.t, i.a, i.b, sum(score)::bigint score from path join q on q.s = path.s and q.t = path.t join i on i.a = path.a and i.b = path.b join e fo on fo.id = i.forum and fo.id < 10 where fo.ms between q.st and q.en group by all)
+select path.s src, path.t dst, path.a, path.b, coalesce(v.score, 0)::bigint score from path left join v using (s, t, a, b)""",
 }
