@@ -69,3 +69,9 @@ def test_whole_graph_equals_sql(spark, graph, name):
         assert any(min(r) > 2000 or r[0] > 2000 for r in got)
 
 
+def test_list_queries_take_every_order(spark):
+    orders = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
+    for name in ("count_len", "head", "zip_lists", "list_scans"):
+        assert catalog.QUERIES[f"{name}_all"](spark, SF).count() == orders
+    names = "nest_flatten nest_bounds bounds_ranges_keys count_len head chunk append slices cap_list zip_lists transpose list_arith map_nested flatten_ranges list_scans list_find list_gather enlist".split()
+    assert all(f"{n}_all" in catalog.QUERIES and "% 3 = 0" not in catalog.ORACLE[f"{n}_all"].split("where")[-1] for n in names)
