@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
@@ -17,10 +19,10 @@ def equi_join(spark, sf):
     return o.join(cu, c("o_custkey") == c("c_custkey")).select("o_orderkey", "c_custkey", cents("c_acctbal").alias("bal"))
 
 
-def intersect_dups(spark, sf):
+def intersect_dups(spark, sf, left="pos < 400", right="pos < 400 and v % 2 = 0"):
     """Position pairs of equal keys: runs of duplicates give their cross product."""
-    a = _orders(spark, sf).where("pos < 400").select("pos", c("o_custkey").alias("k"))
-    b = _orders(spark, sf).where("pos < 400 and v % 2 = 0").select("pos", c("o_custkey").alias("k"))
+    a = _orders(spark, sf).where(left).select("pos", c("o_custkey").alias("k"))
+    b = _orders(spark, sf).where(right).select("pos", c("o_custkey").alias("k"))
     return R.equi_positions(a, b, "k")
 
 
@@ -53,8 +55,8 @@ def group_lists(spark, sf):
     return x.select("sk", F.size("values").cast("bigint").alias("n"), F.array_join("values", ",").alias("l"))
 
 
-def group_composite(spark, sf):
-    x = R.group_lists(lines(spark, sf).where("disc = 3"), ["flag", "status"], c("qty"), [c(k) for k in LINE_ORDER])
+def group_composite(spark, sf, kept="disc = 3"):
+    x = R.group_lists(lines(spark, sf).where(kept), ["flag", "status"], c("qty"), [c(k) for k in LINE_ORDER])
     return x.select("flag", "status", F.array_join("values", ",").alias("l"))
 
 
@@ -104,3 +106,9 @@ ORACLE = {
     "uniq_counts": f"select qty, disc, count(*) n from {LINES} group by qty, disc",
     "multi_agg": f"select pk, count(*) n, sum(qty)::bigint s, max(price) m from {LINES} group by pk",
 }
+#: Over all orders and lines.
+QUERIES |= {"intersect_dups_all": partial(intersect_dups, left="true", right="true"), "group_composite_all": partial(group_composite, kept="true")}
+ORACLE |= {
+    "intersect_dups_all": f"select a.o_custkey k, a.pos pos_a, b.pos pos_b from {ORDERS} a join {ORDERS} b on a.o_custkey = b.o_custkey",
+    "group_composite_all": ORACLE["group_composite"].replace(" where disc = 3", ""),
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +25,12 @@ def _orders(spark, sf):
 ORDERS = "(select o_orderkey, o_custkey, round(o_totalprice * 100)::bigint v, row_number() over (order by o_custkey, o_orderkey) - 1 pos from orders)"
 
 
-def iota_join(spark, sf):
-    n = seq.iota(spark, 500).withColumnRenamed("pos", "n")
+def _n_orders(spark, sf):
+    return table(spark, sf, "orders").count()
+
+
+def iota_join(spark, sf, size=lambda *_: 500):
+    n = seq.iota(spark, size(spark, sf)).withColumnRenamed("pos", "n")
     return n.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), c("n") == c("o_orderkey"), "left").select("n", "o_custkey")
 
 
@@ -55,16 +61,17 @@ def list_positions(spark, sf):
     return order_lists(spark, sf).select("ok", F.explode(A.positions(F.transform("b", lambda x: x > 20))).alias("at"))
 
 
-def gather(spark, sf):
+def gather(spark, sf, size=lambda *_: 20_000):
     """Every tenth position, then the rows there."""
-    at = seq.iota(spark, 2000).select((c("pos") * 10).alias("at"))
+    at = seq.iota(spark, -(-size(spark, sf) // 10)).select((c("pos") * 10).alias("at"))
     return seq.gather(at, _orders(spark, sf)).select("at", "o_orderkey", "v")
 
 
-def gather_chain(spark, sf):
+def gather_chain(spark, sf, size=lambda *_: 1800):
     """A gather of a gather is one gather by composed positions."""
-    first = seq.iota(spark, 1000).select("pos", (c("pos") * 3).alias("at"))
-    second = seq.iota(spark, 300).select((c("pos") * 2).alias("at"))
+    n = size(spark, sf)
+    first = seq.iota(spark, -(-n // 3)).select("pos", (c("pos") * 3).alias("at"))
+    second = seq.iota(spark, -(-n // 6)).select((c("pos") * 2).alias("at"))
     composed = second.join(first.withColumnRenamed("at", "inner"), second["at"] == first["pos"]).select("pos", c("inner").alias("at"))
     return seq.gather(composed, _orders(spark, sf)).select("at", "o_orderkey")
 
@@ -192,3 +199,10 @@ ORACLE = {
     "search_lower_bound": f"with t as (select pk k, count(*) n from {LINES} group by pk), q as (select distinct p_size::bigint * 37 k from part), r as (select q.k, coalesce(sum(n), 0)::bigint \"at\" from q left join t on t.k < q.k group by q.k) select p_partkey, \"at\" from part join r on r.k = p_size::bigint * 37",
     "find_equal_range": f"with t as (select pk k, count(*) n from {LINES} group by pk), s as (select k, sum(n) over (order by k)::bigint hi, n from t) select p_partkey k, coalesce(hi - n, (select coalesce(sum(n), 0) from t where t.k < p_partkey))::bigint lo, coalesce(hi, (select coalesce(sum(n), 0) from t where t.k < p_partkey))::bigint hi from part left join s on s.k = p_partkey",
 }
+#: Asked for as many positions as there are orders.
+QUERIES |= {f"{f.__name__}_all": partial(f, size=_n_orders) for f in (iota_join, gather, gather_chain)}
+ORACLE |= {
+    "iota_join_all": "select n, o_custkey from (select unnest(range((select count(*) from orders))) n) left join orders on o_orderkey = n",
+    "gather_all": ORACLE["gather"].replace(" and pos < 20000", ""),
+    "gather_chain_all": ORACLE["gather_chain"].replace(" and pos < 1800", ""),
+}

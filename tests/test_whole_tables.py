@@ -75,3 +75,15 @@ def test_list_queries_take_every_order(spark):
         assert catalog.QUERIES[f"{name}_all"](spark, SF).count() == orders
     names = "nest_flatten nest_bounds bounds_ranges_keys count_len head chunk append slices cap_list zip_lists transpose list_arith map_nested flatten_ranges list_scans list_find list_gather enlist".split()
     assert all(f"{n}_all" in catalog.QUERIES and "% 3 = 0" not in catalog.ORACLE[f"{n}_all"].split("where")[-1] for n in names)
+
+
+def test_joins_and_gathers_ask_for_the_whole_column(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    n = orders.count()
+    runs = [r["count"] for r in orders.groupBy("o_custkey").count().collect()]
+    assert catalog.QUERIES["intersect_dups_all"](spark, SF).count() == sum(k * k for k in runs)
+    assert catalog.QUERIES["iota_join_all"](spark, SF).count() == n
+    assert catalog.QUERIES["gather_all"](spark, SF).count() == -(-n // 10)
+    assert catalog.QUERIES["gather_chain_all"](spark, SF).count() == -(-n // 6)
+    grouped = sum(len(r.l.split(",")) for r in catalog.QUERIES["group_composite_all"](spark, SF).collect())
+    assert grouped == spark.read.parquet(f"{SF}/lineitem.parquet").count()
