@@ -62,6 +62,19 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return bits
 
 
+def in_filter(df: DataFrame, key: str, ids: DataFrame) -> Column:
+    """Whether a row's key may be among ``ids`` (one, bigint, non-null column); false for rows without a key."""
+    sent = df.sparkSession.sparkContext.broadcast(id_filter(ids).tobytes())
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        bits = np.frombuffer(sent.value, np.uint8)
+        slot = _bit(keys.fillna(0).to_numpy(dtype=np.int64))
+        return pd.Series(((bits[slot >> 3] >> (slot & 7)) & 1).astype(bool) & keys.notna().to_numpy())
+
+    return maybe(F.col(key).cast("bigint"))
+
+
 def without_ids(df: DataFrame, key: str, removed: DataFrame, once: DataFrame | None = None) -> DataFrame:
     """``df`` without the rows whose key is in ``removed`` (one column); keys in ``once`` keep one row.
 
@@ -70,14 +83,6 @@ def without_ids(df: DataFrame, key: str, removed: DataFrame, once: DataFrame | N
     """
     ids = removed.select(F.col(removed.columns[0]).cast("bigint").alias("id")).where("id is not null")
     both = ids if once is None else ids.union(once.select(F.col(once.columns[0]).cast("bigint").alias("id")).where("id is not null"))
-    sent = df.sparkSession.sparkContext.broadcast(id_filter(both).tobytes())
-
-    @F.pandas_udf("boolean")
-    def maybe(keys: pd.Series) -> pd.Series:
-        bits = np.frombuffer(sent.value, np.uint8)
-        slot = _bit(keys.fillna(0).to_numpy(dtype=np.int64))
-        return pd.Series(((bits[slot >> 3] >> (slot & 7)) & 1).astype(bool) & keys.notna().to_numpy())
-
-    flag = maybe(F.col(key).cast("bigint"))
+    flag = in_filter(df, key, both)
     rest = df.where(flag).join(ids.withColumnRenamed("id", "__id").distinct(), F.col(key) == F.col("__id"), "left_anti")
     return df.where(~flag).union(rest if once is None else rest.dropDuplicates([key]))

@@ -27,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import kernel as K
-from tessera.llm.common import read, without_ids, written
+from tessera.llm.common import in_filter, read, written
 
 WIDTH = 5
 #: Link when PER * intersection >= AT_LEAST * union.
@@ -77,6 +78,16 @@ def _measure(text: str, doc_id: str, width: int):
     return run
 
 
+def fingerprinted(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
+    """``docs`` with ``__fp``, the fingerprint of each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _, _, fp in _sets(batches, text, width):
+            yield from table.append_column("__fp", pa.array(fp)).combine_chunks().to_batches()
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+
+
 class Dealer:
     """Entries gathered by set and dealt to buckets: a row per bucket with sets, counts and packed tokens."""
 
@@ -494,16 +505,24 @@ def near_duplicate_components(docs: DataFrame, **options) -> DataFrame:
     return documents.join(known, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def remove_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
+def remove_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, **options) -> DataFrame:
     """The documents without those that links join to one of a smaller id, with all their columns.
 
-    Of rows that repeat an id one stays (an id goes only if none of its rows is its group's smallest);
-    rows without an id stay, as do empty texts.
+    Decided per row, by id and set: of a group's rows those of its smallest id stay, with that id's
+    smallest fingerprint; one row of an id and set stays. Rows of one id whose texts are not linked are
+    decided each by itself. Rows without an id stay; empty texts of one id are repeats.
     """
-    ids = written(near_duplicate_components(docs, doc_id=doc_id, **options))
-    by_id = ids.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("keeps"), F.count("*").alias("n"))
-    by_id = written(by_id.where("not keeps or n > 1"))
-    return without_ids(docs, doc_id, by_id.where("not keeps").select("doc_id"), by_id.where("n > 1").select("doc_id"))
+    documents, classes, _ = jaccard_join(docs, doc_id=doc_id, text=text, width=width, **options)
+    rows = written(documents.where("doc_id is not null").groupBy("doc_id", "fp").agg(F.first("n_shingles").alias("n"), F.count("*").alias("copies")))
+    held = rows.where("n > 0").join(classes, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    # the smallest (id, fp) of each set first, so that a large class is not gathered row by row
+    best = held.groupBy("component", "fp").agg(F.min("doc_id").alias("doc_id")).groupBy("component").agg(F.min(F.struct("doc_id", "fp")).alias("b")).select("b.doc_id", "b.fp")
+    gone = written(rows.where("n > 0").select("doc_id", "fp").join(best, ["doc_id", "fp"], "left_anti"))
+    flag = in_filter(docs, doc_id, gone.select("doc_id").union(rows.where("copies > 1").select("doc_id")))
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__gone"))
+    rest = fingerprinted(docs.where(flag), text, width)
+    rest = rest.join(gone, (F.col(doc_id).cast("bigint") == F.col("__id")) & (F.col("__fp") == F.col("__gone")), "left_anti")
+    return docs.where(~flag).union(rest.dropDuplicates([doc_id, "__fp"]).drop("__fp"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
