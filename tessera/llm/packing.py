@@ -9,6 +9,9 @@ residual until such a bin is found; if none is, a bin is opened. Bins of equal r
 form one entry of the search, so a hot source is passed by in one step; bins that already hold the
 cluster now being placed are set aside until its run of equal pieces ends.
 
+Duplicate clusters are the components of near-duplicate texts (``jaccard_join``: 5-word shingles, Jaccard
+from 0.75 on), joined row by row through the fingerprint of the text's shingles.
+
 Defined results: null or empty text has no tokens and gets bin null, piece 0. A null source or cluster
 conflicts with nothing. Repeated rows are packed each. Other columns are not carried unless asked for.
 """
@@ -20,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read
+from tessera.llm import jaccard_join
+from tessera.llm.common import read, written
 
 CAPACITY = 2048
 SHARD_ROWS = 20_000
@@ -136,16 +140,22 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
-def duplicate_key(text: Column) -> Column:
-    """The same for texts that differ in case or white space only."""
-    return F.xxhash64(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
+def near_duplicate_clusters(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Column]:
+    """``docs`` with the component of near-duplicate sets each row belongs to (null where it has no words)."""
+    _, classes, _ = jaccard_join.jaccard_join(docs, doc_id=doc_id, text=text)
+    # a set alone in its component is its own cluster, so only the others' components are joined
+    linked = written(classes.where("fp <> component").select(F.col("fp").alias("__set"), F.col("component").alias("__component")))
+    few = linked.count() * jaccard_join.CLASS_BYTES <= jaccard_join.BROADCAST_BYTES
+    rows = jaccard_join.fingerprinted(docs, text).join(F.broadcast(linked) if few else linked, F.col("__fp") == F.col("__set"), "left")
+    return rows, F.coalesce("__component", "__fp")
 
 
 def pack(docs: DataFrame, *, doc_id: str = "doc_id", n_tokens: Column | None = None, text: str = "text", source: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """A row for each piece of a document: PACKED. Rows without tokens have bin null."""
     length = word_count(F.col(text)) if n_tokens is None else F.coalesce(n_tokens, F.lit(0)).cast("bigint")
-    own = duplicate_key(F.col(text)) if cluster is None else cluster
-    sized = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), length.alias("n_tokens"), F.col(source).alias("source"), own.alias("cluster"))
+    if cluster is None:
+        docs, cluster = near_duplicate_clusters(docs, doc_id, text)
+    sized = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), length.alias("n_tokens"), F.col(source).alias("source"), cluster.alias("cluster"))
     shards = -(-docs.count() // shard_rows) or 1
     # by id and length: copies of one row under one id still share a shard of bounded expected size
     dealt = sized.where("n_tokens > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "n_tokens"), F.lit(shards)).cast("int"))
