@@ -6,7 +6,8 @@
    paragraphs' text, links counting against it.
 2. Paths are generalised: tag and class words, digits taken out. In Spark each host's pages vote: the
    scores of a path are summed over the host, and the best path wins (ties: longer support, then name).
-3. Pages are read again; the host's winning path gives the container. A page without it falls back to
+3. Pages are read again; the host's winning path gives the container, widened to the outermost article
+   or main around it, or to the outermost container that adds mostly text that is no link. A page without it falls back to
    its own best container, and one without any to all its text.
 
 Defined results: null html has the empty text; a null or hostless url belongs to the host ''. Repeated
@@ -182,14 +183,18 @@ def joined(pieces: list[tuple[Element, str | None]], path: str | None) -> str:
     """The text of the blocks below ``path`` (all blocks if None), in page order."""
     inside: dict[int, bool] = {}
 
-    def below(e: Element | None) -> bool:
+    def below(e: Element) -> bool:
         if path is None:
             return True
-        if e is None:
-            return False
-        if id(e) not in inside:
-            inside[id(e)] = e.path == path or below(e.parent)
-        return inside[id(e)]
+        climbed, found = [], False
+        while e is not None:
+            if id(e) in inside or e.path == path:
+                found = inside.get(id(e), True)
+                break
+            climbed.append(e)
+            e = e.parent
+        inside.update((id(x), found) for x in climbed)
+        return found
 
     blocks, held = [], []
     for e, t in pieces:
@@ -202,13 +207,47 @@ def joined(pieces: list[tuple[Element, str | None]], path: str | None) -> str:
     return " ".join(b for b in (SPACE.sub(" ", x).strip() for x in blocks) if b)
 
 
+def outermost(elements: list[Element], pieces: list[tuple[Element, str | None]], path: str) -> str:
+    """The path of the whole main part that ``path`` lies in.
+
+    Its outermost article or main; without one, the outermost container inside the body that adds more
+    text than link text to it.
+    """
+    e = next((x for x in elements if x.path == path and not x.dropped), None)
+    above = []
+    while e is not None:
+        if e.tag in CONTAINERS and e.tag != "body" and e.path != path:
+            above.append(e.path)
+        if e.tag in ("article", "main"):
+            above.append(e.path)
+        e = e.parent
+    if not above:
+        return path
+    main = [x for x in above if x.rsplit(">", 1)[-1].split(".")[0] in ("article", "main")]
+    if main:
+        return main[-1]
+    # elements stand after their parents: links are handed down, words up (those of ``path`` stay there)
+    link, words, added = [False] * len(elements), [0] * len(elements), dict.fromkeys(above, 0)
+    for x in elements[1:]:
+        link[x.order] = x.tag == "a" or link[x.parent.order]
+    for x, t in pieces:
+        if t is not None:
+            words[x.order] += -len(t.split()) if link[x.order] else len(t.split())
+    for x in reversed(elements[1:]):
+        if x.path != path:
+            words[x.parent.order] += words[x.order]
+            if x.path in added:
+                added[x.path] += words[x.order]
+    return next((k for k in reversed(above) if added[k] > 0), path)
+
+
 def extract(page: str | None, path: str | None) -> str:
     """The page's main text: of the host's path, else of its own best container, else all its text."""
     elements, pieces = parse(page or "")
     if path is None or not any(e.path == path and not e.dropped for e in elements):
         own = scored(elements, pieces)
         path = max(own, key=lambda k: (own[k][0], -own[k][1])) if own else None
-    return joined(pieces, path)
+    return joined(pieces, path if path is None else outermost(elements, pieces, path))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
