@@ -12,9 +12,11 @@ LOCAL_DEFAULT = f"/tmp/checkpoints/{uuid.uuid4().hex}"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder where it is unset, as in tests."""
+    """spark.checkpoint.dir; where it is unset a local folder, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = LOCAL_DEFAULT
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(base)
@@ -22,10 +24,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet and read again: cuts the lineage and survives lost executors."""
     path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
