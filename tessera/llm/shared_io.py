@@ -29,13 +29,19 @@ def write_file(path: str, data: bytes, attempt: str) -> None:
     store.move(f"{p}.{attempt}.tmp", p)
 
 
-def open_file(path: str):
+def open_stream(path: str):
+    """The file, to be read in pieces from its beginning."""
     if (p := _local(path)) is not None:
         return open(p, "rb")
     from pyarrow import fs
 
     store, p = fs.FileSystem.from_uri(path)
-    return io.BytesIO(store.open_input_file(p).read())
+    return store.open_input_stream(p)
+
+
+def open_file(path: str):
+    with open_stream(path) as f:
+        return io.BytesIO(f.read())
 
 
 def local_path(path: str) -> str | None:

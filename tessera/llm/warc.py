@@ -6,19 +6,27 @@ transfer framing) longer than ``segment_bytes`` is cut into a first record and `
 (WARC-Segment-Origin-ID, WARC-Segment-Number, and WARC-Segment-Total-Length on the last). Archives are
 gzip members, one per record, in files of a bounded size in the shared folder.
 
-Reading: the files are dealt to tasks as rows; records not cut are decoded where they are read; the
-records of a cut one are grouped by origin identifier, ordered by segment number, checked for gaps,
-repeats and total length, and decoded. A segment set that fails a check is an error row, not a crash.
+A record's identifier is a UUID of the archive, the digest, the page and its url; a revisit names that of
+its group's response, and reading finds the response's page through it. Payloads of pages that stand alone
+are written where they are read; only the rows of groups are shuffled, and the groups of very many rows
+(their number is bounded by a share of the table) are sent to the tasks instead.
+
+Reading: the files are dealt to tasks as rows and read once, in pieces, one record in memory at a time;
+records not cut are decoded where they are read; the records of a cut one are grouped by origin identifier,
+ordered by segment number, checked for gaps, repeats and total length, and decoded. A record or segment
+set that fails a check is an error row, not a crash.
 
 Defined results: null html is the empty payload. The response of a group is the row (or, if the table
 repeats it, each such row) with the group's smallest page_id; null page_ids are responses only where a
-group has no other. Other columns are not carried.
+group has no other. A revisit whose response is in none of the archives read has a null refers_to. Other
+columns are not carried. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,20 +35,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read, shared_folder, written
-from tessera.llm.shared_io import open_file, write_file
+from tessera.llm.common import join_groups, read, shared_folder, without_filter, written
+from tessera.llm.shared_io import open_stream, write_file
 
 SEGMENT_BYTES = 16 << 10
 FILE_BYTES = 16 << 20
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT_BYTES = 0
 CHUNK = 4096
+#: Bytes read, and at most inflated, at a time.
+PIECE = 64 << 10
 CRLF = b"\r\n"
 EPOCH = "2024-01-01T00:00:00Z"
-RECORD = "record_id string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary, error string"
-FIELDS = ["record_id", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "error"]
-TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
-
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -77,151 +84,247 @@ def _line(value) -> str:
     return "" if value is None else " ".join(str(value).split())
 
 
-def page_records(page_id, url: str | None, payload: bytes, sha: str, first: int | None, revisit: bool, record_id: str, segment_bytes: int) -> Iterator[bytes]:
+def record_name(archive: str, sha: str, page_id: int | None, url: str | None, again: int = 0) -> str:
+    """Identifier of a page's record in the archive; ``again`` counts the repeats of a row."""
+    row = "\x1f".join((archive, sha, str(page_id), "" if url is None else "u" + url, str(again)))
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, row)}"
+
+
+def page_records(
+    page_id: int | None,
+    url: str | None,
+    payload: bytes,
+    sha: str,
+    record_id: str,
+    refers_to: str | None,
+    segment_bytes: int,
+) -> Iterator[bytes]:
+    """A page's records: a revisit where ``refers_to`` names another record, else a response, cut or not."""
     own = [("WARC-Target-URI", _line(url))] if url else []
     own += [("WARC-Payload-Digest", f"sha1:{sha}"), ("X-Page-ID", _line(page_id))]
-    if revisit:
-        head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        yield record("revisit", record_id, [*own, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{first}>"), ("Content-Type", "application/http; msgtype=response")], head)
+    http = [("Content-Type", "application/http; msgtype=response")]
+    status = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+    if refers_to is not None:
+        head = status + b"Content-Length: %d\r\n\r\n" % len(payload)
+        refers = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{refers_to}>")]
+        yield record("revisit", record_id, own + refers + http, head)
         return
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
+    block = status + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     cuts = range(0, len(block), segment_bytes)
-    first_headers = [*own, ("Content-Type", "application/http; msgtype=response")]
     if len(cuts) == 1:
-        yield record("response", record_id, first_headers, block)
+        yield record("response", record_id, own + http, block)
         return
     for k, at in enumerate(cuts, 1):
-        part = block[at : at + segment_bytes]
+        part, number = block[at : at + segment_bytes], [("WARC-Segment-Number", str(k))]
         if k == 1:
-            yield record("response", record_id, [*first_headers, ("WARC-Segment-Number", "1")], part)
+            yield record("response", record_id, own + http + number, part)
+            continue
+        total = [("WARC-Segment-Total-Length", str(len(block)))] if k == len(cuts) else []
+        origin = [("WARC-Segment-Origin-ID", f"<{record_id}>")]
+        name = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{record_id}:{k}')}"
+        yield record("continuation", name, origin + number + total, part)
+
+
+def inflated(stream) -> Iterator[bytes]:
+    """What a file of gzip members (or a plain file) holds, in pieces of bounded size."""
+    data = stream.read(PIECE)
+    if data[:2] != b"\x1f\x8b":
+        while data:
+            yield data
+            data = stream.read(PIECE)
+        return
+    member = zlib.decompressobj(31)
+    while data:
+        yield member.decompress(data, PIECE)
+        if member.eof:
+            data, member = member.unused_data or stream.read(PIECE), zlib.decompressobj(31)
         else:
-            total = [("WARC-Segment-Total-Length", str(len(block)))] if k == len(cuts) else []
-            yield record("continuation", f"{record_id}:{k}", [("WARC-Segment-Origin-ID", f"<{record_id}>"), ("WARC-Segment-Number", str(k)), *total], part)
-
-
-def parse_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of a file, gzip members or plain."""
-    data = stream.read()
-    members = []
-    while data[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-        members.append(d.decompress(data) + d.flush())
-        data = d.unused_data
-    for member in [*members, data]:
-        at = 0
-        while (end := member.find(CRLF + CRLF, at)) >= 0:
-            lines = member[at:end].decode("utf-8", "replace").split("\r\n")
-            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-            size = int(headers["content-length"])
-            yield headers, member[end + 4 : end + 4 + size]
-            at = end + 4 + size + 4
+            data = member.unconsumed_tail or stream.read(PIECE)
 
 
-def decoded(headers: dict[str, str], block: bytes) -> tuple:
-    """A record's row from its headers and whole block."""
+def parse_records(stream) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers (names in lower case) and block of each record of a file; a cut-off last record has no block."""
+    pieces, held, at = inflated(stream), bytearray(), 0
+
+    def more() -> bool:
+        nonlocal at
+        del held[:at]
+        at = 0
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while held[at : at + 2] == CRLF or len(held) - at < 2:  # what ends the record before
+            if len(held) - at >= 2:
+                at += 2
+            elif not more():
+                return
+        seen = at
+        while (end := held.find(CRLF + CRLF, seen)) < 0:
+            seen = max(0, len(held) - at - 3)
+            if not more():
+                return
+        lines = held[at:end].decode("utf-8", "replace").strip().split("\r\n")
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        size, at = int(headers.get("content-length", 0)), end + 4
+        while len(held) - at < size:
+            if not more():
+                yield headers, None
+                return
+        yield headers, bytes(held[at : at + size])
+        at += size
+
+
+#: A record as read. Those that are segments have a number, and wait for the others of their origin.
+READ = pa.schema(
+    [
+        ("record_id", pa.string()),
+        ("page_id", pa.int64()),
+        ("payload_bytes", pa.int64()),
+        ("payload_digest", pa.string()),
+        ("record_type", pa.string()),
+        ("refers_record", pa.string()),
+        ("payload", pa.binary()),
+        ("error", pa.string()),
+        ("number", pa.int32()),
+        ("total", pa.int64()),
+        ("headers", pa.map_(pa.string(), pa.string())),
+    ]
+)
+READ_SQL = (
+    "record_id string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, "
+    "refers_record string, payload binary, error string, number int, total bigint, headers map<string,string>"
+)
+WHOLE = READ.names[:8]
+
+
+def decoded(headers: dict[str, str], block: bytes | None, error: str | None = None) -> tuple:
+    """A record's row (the columns of WHOLE) from its headers and whole block."""
     page = headers.get("x-page-id", "")
     known = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-    row = [headers["warc-record-id"].strip("<>"), int(page) if page else None]
+    kind = "revisit" if headers.get("warc-type") == "revisit" else "response"
+    row = (headers.get("warc-record-id", "").strip("<>"), int(page) if page else None)
+    if block is None or error:
+        return (*row, None, known, kind, None, None, error or "record is cut off")
     head, _, body = block.partition(CRLF + CRLF)
-    http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}
-    if headers["warc-type"] == "revisit":
-        refers = headers["warc-refers-to"].strip("<>").removeprefix("urn:page:")
-        return (*row, int(http.get("content-length", 0)), known, "revisit", int(refers) if refers not in ("", "None") else None, None, None)
+    lines = (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])
+    http = {k.strip().lower(): v.strip() for k, _, v in lines}
+    if kind == "revisit":
+        refers = headers.get("warc-refers-to", "").strip("<>")
+        return (*row, int(http.get("content-length", 0)), known, kind, refers or None, None, None)
     try:
         payload = unchunked(body) if http.get("transfer-encoding", "").lower() == "chunked" else body
     except ValueError as e:
-        return (*row, None, known, "response", None, None, str(e))
+        return (*row, None, known, kind, None, None, str(e))
     sha = digest(payload)
-    return (*row, len(payload), sha, "response", None, payload, None if sha == known or not known else "payload digest differs")
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(TYPES)], names=FIELDS)
+    wrong = None if sha == known or not known else "payload digest differs"
+    return (*row, len(payload), sha, kind, None, payload, wrong)
 
 
 def first_of_payload(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """page_id, url, payload, sha (hex), first: the smallest page_id of the payload's group."""
+    """A row per record to write: page_id, url, payload, sha (hex), n (of equal rows), to (page_id, url).
+
+    ``to`` is the response that a revisit refers to, null for responses.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    pages = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha", F.sha1("payload"))
-    first = pages.groupBy("sha").agg(F.min("page_id").alias("first"))
-    joined = pages.join(first, "sha")
-    same = F.col("page_id").eqNullSafe(F.col("first")) | (F.octet_length("payload") < least_bytes)
-    return joined.withColumn("revisit", ~same)
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha", F.sha1("payload"))
+    rows = rows.withColumn("key", F.conv(F.substring("sha", 1, 15), 16, 10).cast("bigint"))
+    order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url")
+    some = rows.groupBy("sha", "key", "page_id", "url").agg(F.count("*").alias("n"))
+    groups = some.groupBy("sha", "key").agg(F.sum("n").alias("rows"), F.max("n").alias("most"), F.min(order).alias("to"))
+    groups = written(groups.where("rows > 1"))
+    alone, maybe = without_filter(rows, "key", groups.select("key"))
+    maybe = join_groups(maybe, groups.drop("key"), "sha", "rows", "left")
+    response = F.col("to").isNull() | F.col("page_id").eqNullSafe(F.col("to.page_id"))
+    maybe = maybe.withColumn("response", response | (F.octet_length("payload") < least_bytes))
+    columns = ["page_id", "url", "payload", "sha"]
+    nobody = F.lit(None).cast("struct<page_id:bigint,url:string>").alias("to")
+    one = F.lit(1).cast("bigint").alias("n")
+    named = F.struct(F.col("to.page_id").alias("page_id"), F.col("to.url").alias("url")).alias("to")
+    repeated = F.col("response") & (F.coalesce(F.col("most"), F.lit(1)) > 1)
+    again = maybe.where(repeated).groupBy("sha", "page_id", "url").agg(F.first("payload").alias("payload"), F.count("*").alias("n"))
+    return (
+        alone.select(*columns, one, nobody)
+        .union(maybe.where(F.col("response") & ~repeated).select(*columns, one, nobody))
+        .union(maybe.where(~F.col("response")).select(*columns, one, named))
+        .union(again.select(*columns, "n", nobody))
+    )
 
 
 def _write(folder: str, segment_bytes: int, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        part, attempt = task.partitionId(), str(task.taskAttemptId())
-        held, size, names, n = [], 0, [], 0
+        part, attempt = task.partitionId(), task.taskAttemptId()
+        held, size, names, sizes = [], 0, [], []
 
         def flush():
-            path = f"{folder}/part-{part:06d}-{len(names):04d}.warc.gz"
-            write_file(path, b"".join(held), attempt)
+            nonlocal size
+            # The attempt is in the name, and only the names returned are read: attempts never mix.
+            path = f"{folder}/part-{part:06d}-{attempt}-{len(names):04d}.warc.gz"
+            write_file(path, b"".join(held), str(attempt))
             names.append(path)
+            sizes.append(size)
             held.clear()
+            size = 0
 
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha", "first", "revisit")]
-            for page, url, payload, sha, first, revisit in zip(*cols, strict=True):
-                n += 1
+            cols = [b.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha", "n", "to")]
+            for page, url, payload, sha, n, to in zip(*cols, strict=True):
                 sha = base64.b32encode(bytes.fromhex(sha)).decode()
-                for r in page_records(page, url, payload, sha, first, revisit, f"urn:record:{part}-{n}", segment_bytes):
-                    z = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    held.append(z.compress(r) + z.flush())
-                    size += len(held[-1])
-                    if size >= file_bytes:
-                        flush()
-                        size = 0
+                refers = record_name(folder, sha, to["page_id"], to["url"]) if to else None
+                for k in range(n):
+                    # A revisit is named by its row too; its repeats stand in separate rows.
+                    name = record_name(folder, sha, page, url, k) if refers is None else f"urn:uuid:{uuid.uuid4()}"
+                    for r in page_records(page, url, payload, sha, name, refers, segment_bytes):
+                        z = zlib.compressobj(1, zlib.DEFLATED, 31)
+                        held.append(z.compress(r) + z.flush())
+                        size += len(held[-1])
+                        if size >= file_bytes:
+                            flush()
         if held:
             flush()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["path"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["path", "bytes"])
 
     return run
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, *, segment_bytes: int = SEGMENT_BYTES, file_bytes: int = FILE_BYTES, least_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) as archives; their paths, as a written table."""
+def write_archives(
+    pages: DataFrame,
+    folder: str | None = None,
+    *,
+    segment_bytes: int = SEGMENT_BYTES,
+    file_bytes: int = FILE_BYTES,
+    least_bytes: int = MIN_REVISIT_BYTES,
+) -> DataFrame:
+    """Write ``pages`` (page_id, url, html) as archives; their paths and sizes, as a written table."""
     folder = folder or f"{shared_folder(pages.sparkSession)}/warc"
-    return written(first_of_payload(pages, least_bytes).mapInArrow(_write(folder, segment_bytes, file_bytes), "path string"))
+    return written(first_of_payload(pages, least_bytes).mapInArrow(_write(folder, segment_bytes, file_bytes), "path string, bytes bigint"))
 
 
-PIECE = "origin string, number int, total bigint, headers map<string,string>, block binary"
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(READ.types)], schema=READ)
 
 
-def _records(batches: Iterator[pa.RecordBatch], cut: bool) -> Iterator[tuple[dict[str, str], bytes]]:
+def _read(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Every record of the files: decoded, or as a segment."""
+    held, size = [], 0
     for b in batches:
         for path in b.column(0).to_pylist():
-            with open_file(path) as f:
-                yield from (x for x in parse_records(f) if ("warc-segment-number" in x[0]) == cut)
-
-
-def _batched(rows: Iterator[tuple], size_of, make, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for r in rows:
-        held.append(r)
-        size += size_of(r)
-        if size > limit:
-            yield make(held)
-            held, size = [], 0
-    yield make(held)
-
-
-def _read_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the records that are not cut."""
-    yield from _batched((decoded(h, block) for h, block in _records(batches, False)), lambda r: len(r[6] or b"") + 200, _rows)
-
-
-def _read_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The segments of the records that are."""
-    types = [pa.string(), pa.int32(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
-
-    def piece(h: dict[str, str], block: bytes) -> tuple:
-        total = h.get("warc-segment-total-length")
-        return h.get("warc-segment-origin-id", h["warc-record-id"]).strip("<>"), int(h["warc-segment-number"]), int(total) if total else None, list(h.items()), block
-
-    make = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["origin", "number", "total", "headers", "block"])
-    yield from _batched((piece(*x) for x in _records(batches, True)), lambda r: len(r[4]) + 500, make)
+            with open_stream(path) as stream:
+                for headers, block in parse_records(stream):
+                    if block is None or "warc-segment-number" not in headers:
+                        held.append((*decoded(headers, block), None, None, None))
+                    else:
+                        origin = headers.get("warc-segment-origin-id", headers.get("warc-record-id", "")).strip("<>")
+                        number, total = int(headers["warc-segment-number"]), headers.get("warc-segment-total-length")
+                        first = list(headers.items()) if number == 1 else None
+                        held.append((origin, None, None, None, None, None, block, None, number, int(total) if total else None, first))
+                    size += len(held[-1][6] or b"") + 300
+                    if size > limit:
+                        yield _batch(held)
+                        held, size = [], 0
+    yield _batch(held)
 
 
 def reassembled(pieces: list[tuple[int, int | None, dict | None, bytes]]) -> tuple[dict | None, bytes, str | None]:
@@ -238,28 +341,41 @@ def reassembled(pieces: list[tuple[int, int | None, dict | None, bytes]]) -> tup
     return headers, block, None
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _assemble(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
     for b in batches:
-        out = []
-        for origin, parts in zip(b.column("origin").to_pylist(), b.column("parts").to_pylist(), strict=True):
-            headers, block, error = reassembled([(p["number"], p["total"], dict(p["headers"] or []), p["block"]) for p in parts])
-            if error:
-                page = (headers or {}).get("x-page-id", "")
-                out.append((origin, int(page) if page else None, None, None, "response", None, None, error))
-            else:
-                out.append(decoded(headers, block))
-        yield _rows(out)
+        for origin, parts in zip(b.column("record_id").to_pylist(), b.column("parts"), strict=True):
+            pieces = [(p["number"], p["total"], dict(p["headers"] or []), p["payload"]) for p in parts.as_py()]
+            headers, block, error = reassembled(pieces)
+            held.append((origin, *decoded(headers or {}, block, error)[1:], None, None, None))
+            size += len(block)
+            if size > limit:
+                yield _batch(held)
+                held, size = [], 0
+    yield _batch(held)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """The logical records of the archives whose paths are in the first column: see RECORD."""
-    spark = archives.sparkSession
-    n = max(1, archives.count())
-    parts = min(n, max(spark.sparkContext.defaultParallelism, n // 4))
-    archives = archives.repartition(parts)
-    whole = archives.mapInArrow(_read_whole, RECORD)
-    cut = archives.mapInArrow(_read_cut, PIECE).groupBy("origin").agg(F.collect_list(F.struct("number", "total", "headers", "block")).alias("parts")).mapInArrow(_assemble, RECORD)
-    return whole.union(cut)
+    """The logical records of the archives whose paths are in the first column.
+
+    record_id, page_id, payload_bytes, payload_digest, record_type, refers_to, payload, error.
+    """
+    # A file is a task: they are of one size, but for the last that each writer closed.
+    files = max(1, archives.count())
+    path = archives.columns[0]
+    found = written(archives.select(path).repartitionByRange(files, path).mapInArrow(_read, READ_SQL), "zstd")
+    cut = found.where("number is not null").groupBy("record_id")
+    cut = cut.agg(F.collect_list(F.struct("number", "total", "headers", "payload")).alias("parts"))
+    cut = cut.mapInArrow(_assemble, READ_SQL).select(*WHOLE)
+    whole = found.where("number is null").select(*WHOLE)
+    records = whole.where("record_type = 'response'").union(cut)
+    revisits = whole.where("record_type = 'revisit'")
+    named = revisits.groupBy("refers_record").agg(F.count("*").alias("rows"))
+    pages = records.select(F.col("record_id").alias("refers_record"), F.col("page_id").alias("refers_to"))
+    named = written(named.join(pages.dropDuplicates(["refers_record"]), "refers_record"))
+    resolved = join_groups(revisits, named, "refers_record", "rows", "left").drop("rows")
+    resolved = resolved.unionByName(records.withColumn("refers_to", F.lit(None).cast("bigint")))
+    return resolved.select(*WHOLE[:5], "refers_to", "payload", "error")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
