@@ -2,18 +2,22 @@
 
 Vectors are turned into integers. Candidates come to tasks in blocks; a block sorts its vectors once
 per dimension. A query goes down all lists at once, each from the end where its own sign makes the
-products large, at doubling depths; every vector first met is scored whole. It stops when the bound,
-the sum over dimensions of the products at the current depth, is below the kth score so far: nothing
-unseen can beat or tie it. The kth score is carried from block to block, so later blocks stop earlier.
+products large, to depths 1, 2, 4 and so on; every vector first met is scored whole. Before each step it
+stops if the bound, the sum over dimensions of the products at the current depth, is below the kth score
+so far: nothing unseen can beat or tie it. The kth score is carried from block to block, so later blocks
+stop earlier, or are passed by without a look at a vector.
+
+Scores are exact: sums that 53 bits hold are formed in floating point, larger ones in whole numbers of
+any size. A score among the k best that a long cannot hold is an error, never a wrong number.
 
 Queries are sent in blocks of a fixed size (``QUERY_BYTES``), one job each, never all at once. Tasks
 return k rows per query; the last step keeps the best of those.
 
 Defined results: vectors that are null or hold null or non-finite components, or have a null id, take
-no part; neither do vectors whose dimension is not the queries' (the most frequent among queries). Rows
-that share an id are one another's own and never answer each other; a query id that stands on several
-rows is answered for its first vector (in order of the components). A candidate id that stands on
-several rows counts once, with its best score.
+no part. A query is answered from the vectors of its own dimension, with a search for each dimension that
+queries have. Rows that share an id are one another's own and never answer each other; a query id that
+stands on several rows is answered for its first vector (in order of the components). A candidate id that
+stands on several rows counts once, with its best score.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,17 +36,37 @@ K = 5
 SCALE = 256
 EVERY = 50
 #: Vectors of one block of candidates.
-BLOCK = 4096
+BLOCK = 8192
 #: Bytes of queries sent at once.
 QUERY_BYTES = 16 << 20
-FIRST_DEPTH = 32
+#: Sums below this are exact in floating point.
+EXACT = 1 << 53
+LONG = 1 << 63
 
 
 def quantised(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id and integer components (vec) of the rows that take part."""
-    x = F.col(embedding)
-    sound = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return vectors.where(sound & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("bigint").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * SCALE)).alias("vec"))
+    """vec_id and whole components (vec, as doubles: floor would cut them to a long) of the rows that take part."""
+    x, inf = F.col(embedding), F.lit(float("inf"))
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < inf))
+    sound = x.isNotNull() & (F.size(x) > 0) & finite
+
+    def whole(v: Column) -> Column:
+        v = v.cast("double") * SCALE
+        large = F.when(F.abs(v) < inf, v).otherwise(F.raise_error(F.lit("a component is too large")).cast("double"))
+        return F.when(F.abs(v) < 2.0**52, F.floor(v).cast("double")).otherwise(large)
+
+    rows = vectors.where(sound & F.col(vec_id).isNotNull())
+    return rows.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.transform(x, whole).alias("vec"))
+
+
+def exact(matrix: np.ndarray) -> np.ndarray:
+    """Whole numbers of any size in place of doubles."""
+    return np.array([[int(v) for v in row] for row in matrix], object).reshape(matrix.shape)
+
+
+def fits(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether all inner products of rows of these (doubles) are exact in floating point."""
+    return not a.size or not b.size or int(np.abs(a).max()) * int(np.abs(b).max()) * a.shape[-1] < EXACT
 
 
 class Block:
@@ -51,8 +75,10 @@ class Block:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
-        self.lists = np.argsort(-self.vectors, axis=0, kind="stable").T
+        self.lists = np.ascontiguousarray(np.argsort(-self.vectors, axis=0, kind="stable").T.astype(np.int32))
         self.values = np.take_along_axis(self.vectors.T, self.lists, 1)
+        #: How many (query, vector) pairs were scored, and how many there were.
+        self.scored = self.pairs = 0
 
 
 def search(block: Block, query_id: int, query: np.ndarray, k: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -61,19 +87,24 @@ def search(block: Block, query_id: int, query: np.ndarray, k: int, best: list[tu
     use = np.flatnonzero(query)
     lists, values, weight = block.lists, block.values, query[use]
     down = weight > 0
+    up_lists, down_lists = use[~down], use[down]
     seen = np.zeros(n, bool)
-    depth, step = 0, min(n, FIRST_DEPTH)
+    depth, stop, left = 0, 1 if len(use) else n, n  # the null vector ties with all
+    block.pairs += n
     while True:
-        stop = min(n, depth + step)
-        if not len(use):
-            fresh = np.arange(n)
-            stop = n
-        else:
+        bound = int((values[use, np.where(down, depth, n - 1 - depth)] * weight).sum()) if len(use) else 0
+        if len(best) == k and bound < best[-1][0]:
+            return best
+        if len(use):
             fresh = np.zeros(n, bool)
-            fresh[lists[use[down], depth:stop].ravel()] = True
-            fresh[lists[use[~down], n - stop : n - depth].ravel()] = True
+            fresh[lists[down_lists, depth:stop].ravel()] = True
+            fresh[lists[up_lists, n - stop : n - depth].ravel()] = True
             fresh = np.flatnonzero(fresh & ~seen)
+        else:
+            fresh = np.arange(n)
         seen[fresh] = True
+        left -= len(fresh)
+        block.scored += len(fresh)
         if len(fresh):
             score = block.vectors[fresh] @ query
             if len(best) == k:
@@ -81,15 +112,13 @@ def search(block: Block, query_id: int, query: np.ndarray, k: int, best: list[tu
                 fresh, score = fresh[good], score[good]
             ids = block.ids[fresh]
             if len(fresh):
-                top = np.lexsort((ids, -score))
-                merged = dict(best_first([*((i, s) for s, i in best), *((int(ids[t]), int(score[t])) for t in _leading(top, ids, query_id, k))]))
+                top = np.lexsort((ids, -score)) if score.dtype != object else sorted(range(len(ids)), key=lambda t: (-score[t], ids[t]))
+                found = [(int(ids[t]), int(score[t])) for t in _leading(top, ids, query_id, k)]
+                merged = dict(best_first([*((i, s) for s, i in best), *found]))
                 best = sorted(((s, i) for i, s in merged.items()), key=lambda p: (-p[0], p[1]))[:k]
-        if stop >= n:
-            return best
-        bound = int((values[use, np.where(down, stop - 1, n - stop)] * weight).sum())
-        if len(best) == k and bound < best[-1][0]:
+        if not left:
             return best
-        depth, step = stop, stop
+        depth, stop = stop, min(n, 2 * stop)
 
 
 def _leading(order: np.ndarray, ids: np.ndarray, own: int, k: int) -> Iterator[int]:
@@ -117,20 +146,17 @@ def _search(queries, k: int, block_rows: int):
         size = 0
 
         def work():
-            block = Block(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            vectors = np.concatenate([h[1] for h in held])
+            small = fits(vectors, matrix)
+            block = Block(np.concatenate([h[0] for h in held]), vectors if small else exact(vectors))
             for q in range(len(ids)):
-                best[q] = search(block, int(ids[q]), matrix[q], k, best[q])
+                query = matrix[q] if small else exact(matrix[q : q + 1])[0]
+                best[q] = search(block, int(ids[q]), query, k, best[q])
 
         for b in batches:
-            vec, width = b.column("vec"), matrix.shape[1]
-            length = np.diff(vec.offsets.to_numpy())
-            ok = length == width
-            if not ok.all():
-                b = b.filter(pa.array(ok))
-                vec = b.column("vec")
             at = 0
-            flat = vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             own = b.column("vec_id").to_numpy(zero_copy_only=False)
+            flat = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1) if len(own) else None
             while at < len(own):
                 take = min(len(own) - at, block_rows - size)
                 held.append((own[at : at + take], flat[at : at + take]))
@@ -143,41 +169,46 @@ def _search(queries, k: int, block_rows: int):
         if size:
             work()
         rows = [(int(ids[q]), i, s) for q, found in enumerate(best) for s, i in found]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+        if any(not -LONG <= r[2] < LONG for r in rows):
+            raise OverflowError("a score does not fit a long")
+        columns = [pa.array([r[c] for r in rows], pa.int64()) for c in range(3)]
+        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, block_rows: int = BLOCK, query_bytes: int = QUERY_BYTES) -> DataFrame:
+def top_k(
+    vectors: DataFrame,
+    is_query: Column,
+    *,
+    vec_id: str = "vec_id",
+    embedding: str = "embedding",
+    k: int = K,
+    block_rows: int = BLOCK,
+    query_bytes: int = QUERY_BYTES,
+) -> DataFrame:
     """query_id, rank, vec_id, score: of each row where ``is_query`` holds, its k best other rows."""
     spark = vectors.sparkSession
     base = quantised(vectors, vec_id, embedding)
-    queries = base.where(is_query)
-    stats = queries.groupBy(F.size("vec").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    out = "query_id bigint, vec_id bigint, score bigint"
-    if stats is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    width = stats["width"]
-    first = queries.where(F.size("vec") == width).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    blocks = -(-stats["count"] * width * 8 // query_bytes)
-    first = first if blocks == 1 else written(first)
-    rows = base.count()
-    # enough tasks for all cores, but blocks that are worth sorting
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, -(-rows // block_rows)))
-    dealt = base.repartition(parts)
-    found = None
-    for b in range(blocks):
-        part = first if blocks == 1 else first.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        got = part.orderBy("vec_id").toArrow()
-        if not got.num_rows:
-            continue
-        sent = spark.sparkContext.broadcast((got["vec_id"].to_numpy(), np.stack(got["vec"].to_numpy()).astype(np.int64)))
-        here = dealt.mapInArrow(_search(sent, k, block_rows), out)
-        found = here if found is None else found.union(here)
+    first = written(base.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec")))
+    widths = first.groupBy(F.size("vec").alias("width")).count().orderBy("width").collect()
+    held = {r["width"]: r["count"] for r in base.groupBy(F.size("vec").alias("width")).count().collect()} if widths else {}
+    found = spark.createDataFrame([], "query_id bigint, vec_id bigint, score bigint")
+    for width, count in ((r["width"], r["count"]) for r in widths):
+        blocks = -(-count * width * 8 // query_bytes)
+        # enough tasks for all cores, but blocks that are worth sorting
+        most = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
+        dealt = base.where(F.size("vec") == width).repartition(max(1, min(most, -(-held[width] // block_rows))))
+        of_width = first.where(F.size("vec") == width)
+        for b in range(blocks):
+            got = of_width.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toArrow()
+            if got.num_rows:
+                sent = spark.sparkContext.broadcast((got["vec_id"].to_numpy(), np.stack(got["vec"].to_numpy())))
+                found = found.union(dealt.mapInArrow(_search(sent, k, block_rows), found.schema))
     # several tasks may hold rows of one id: its best score counts
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,8 +217,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = {
     "op5_topk": f"""
-with v as (select vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint) e from embeddings where embedding is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
-s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint score from v q join v c on q.vec_id % {EVERY} = 0 and c.vec_id <> q.vec_id),
+with v as (select vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint) e
+ from embeddings where embedding is not null and len(embedding) > 0
+ and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint score
+ from v q join v c on q.vec_id % {EVERY} = 0 and c.vec_id <> q.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) "rank" from s)
 select query_id, "rank"::int "rank", vec_id, score from r where "rank" <= {K}"""
 }

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import topk as K
@@ -75,3 +76,27 @@ def test_search_stops_early_where_it_can():
     order = np.lexsort((np.arange(4000), -score))[:5]
     assert [(int(score[i]), int(i)) for i in order] == [tuple(map(int, b)) for b in best]
     assert sum(reads) < 2000
+
+
+def test_each_dimension_has_its_search(spark):
+    rows = [*table(40), *((100 + i, [1.0 + i, 2.0], 0) for i in range(5)), (160, [3.0], 0)]
+    got = K.top_k(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("vec_id") % 20 == 0)
+    got = {tuple(r) for r in got.collect()}
+    assert got == brute(rows, 20) and {r[0] for r in got} == {0, 20, 100}
+
+
+def test_large_components_are_exact_or_refused(spark):
+    large = [(0, [3e6, 1.0], 0), (1, [3e6, 1.0], 0), (2, [3e6, 0.5], 0), (3, [-3e6, 7.0], 0), (4, [1.0, 1.0], 0)]
+    got = K.top_k(spark.createDataFrame(large, SCHEMA), F.col("vec_id") == 0)
+    assert {tuple(r) for r in got.collect()} == {r for r in brute(large, 1) if r[0] == 0}
+    wide = [(0, [1e20, 1.0], 0), (1, [1e20, 1.0], 0), (2, [0.0, 1.0], 0)]
+    with pytest.raises(Exception, match="does not fit a long"):
+        K.top_k(spark.createDataFrame(wide, SCHEMA), F.col("vec_id") == 0).collect()
+    assert [tuple(r) for r in K.top_k(spark.createDataFrame(wide[::2], SCHEMA), F.col("vec_id") == 0).collect()] == [(0, 1, 2, 65536)]
+
+
+def test_a_block_that_cannot_win_is_passed_by():
+    rng = np.random.default_rng(3)
+    block = K.Block(np.arange(1000), rng.integers(-5, 6, (1000, 8)).astype(float))
+    best = [(10**6, -k) for k in range(5)]
+    assert K.search(block, -1, np.full(8, 9.0), 5, best) == best and block.scored == 0
