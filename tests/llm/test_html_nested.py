@@ -27,3 +27,28 @@ def test_text_around_the_winner_stays(spark, body, text):
 def test_deep_nesting_needs_no_deep_stack():
     page = "<html><body>" + "<div>" * 1500 + "<p>" + LONG + "</div>" * 1500
     assert H.extract(page, None) == LONG.strip()
+
+
+@pytest.mark.parametrize("tag", ["b", "span", "div", "section", "li", "p", "a", "td"])
+def test_elements_nested_ten_thousand_deep(tag):
+    deep = f"<{tag} class='box'>x " * 10_000 + f"</{tag}>" * 10_000
+    page = f"<body><article><p>begin {'word ' * 30}</p>{deep}<p>end</p></article></body>"
+    elements, pieces = H.parse(page)
+    paths = H.scored(elements, pieces)
+    assert max(map(len, paths), default=0) < 300
+    text = H.extract(page, None)
+    assert text.startswith("begin word") and text.endswith("end") and text.split().count("x") == 10_000
+
+
+def test_unclosed_and_unmatched_tags_in_numbers():
+    page = "<body><article><p>begin</p>" + "<i>a</b>" * 10_000 + "</article></body>"
+    assert H.extract(page, None) == "begin " + "a" * 10_000
+
+
+def test_formulas_drawings_objects_and_raw_text_are_content():
+    page = (
+        "<body><article><p>one</p><math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math><svg><path d='M0'/><text>label</text></svg>"
+        "<object data='a'>fallback</object><xmp>a < b &amp;</xmp><textarea>t &amp; u</textarea>"
+        "<script>no()</script><style>no</style><form><textarea>no</textarea><input></form><p>last</p></article></body>"
+    )
+    assert H.extract(page, None) == "one x<2labelfallback a < b &amp; t & u last"
