@@ -71,15 +71,20 @@ def id_filter(ids: DataFrame, size: int | None = None) -> np.ndarray:
     return bits
 
 
+def maybe_in(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values may be among the ids of the filter."""
+    slot = _bit(values, 8 * len(bits))
+    return ((bits[slot >> 3] >> (slot & 7)) & 1).astype(bool)
+
+
 def in_filter(df: DataFrame, key: str, ids: DataFrame) -> Column:
     """Whether a row's key may be among ``ids`` (one, bigint, non-null column); false for rows without a key."""
     sent = df.sparkSession.sparkContext.broadcast(id_filter(ids).tobytes())
 
     @F.pandas_udf("boolean")
     def maybe(keys: pd.Series) -> pd.Series:
-        bits = np.frombuffer(sent.value, np.uint8)
-        slot = _bit(keys.fillna(0).to_numpy(dtype=np.int64), 8 * len(bits))
-        return pd.Series(((bits[slot >> 3] >> (slot & 7)) & 1).astype(bool) & keys.notna().to_numpy())
+        found = maybe_in(np.frombuffer(sent.value, np.uint8), keys.fillna(0).to_numpy(dtype=np.int64))
+        return pd.Series(found & keys.notna().to_numpy())
 
     return maybe(F.col(key).cast("bigint"))
 

@@ -4,9 +4,12 @@ A document's set is its distinct word shingles. Only distinct sets are joined; c
 its row. The steps, none of which emits all pairs of a group or gathers a group in one task:
 
 1. *Screen.* Half of all shingles (by hash) are dealt to buckets by hash. A set that has more shingles
-   nobody shares than threshold allows to miss cannot link and leaves; the test is exact.
+   nobody shares than threshold allows to miss cannot link and leaves; no set that can link does. A task
+   counts the shingles that several of its own sets have where it reads them, and deals one witness of each.
 2. *Index.* Of the sets left, each shingle's frequency is counted, and each set's prefix (rarest first)
-   is put into index lists whose entries hold size and position.
+   is put into index lists whose entries hold size and position. Shingles of very many sets (counted in
+   the tasks first; fewer than HOT_SHARE) are never dealt: their frequency goes to the tasks. Their index
+   lists are cut into salted parts, and in the rest every pair of parts is a task's work.
 3. *Stars.* In each list the most central set serves as pivot; every other set checks one pivot, the
    one it shares most lists with. Sets linked to one pivot are one class, whatever their number.
 4. *Rest.* Lists are cut into blocks of equal size and position; pairs of blocks whose position bound
@@ -25,12 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import kernel as K
-from tessera.llm.common import in_filter, read, written
+from tessera.llm.common import id_filter, in_filter, maybe_in, read, written
 
 WIDTH = 5
 #: Link when PER * intersection >= AT_LEAST * union.
@@ -39,8 +42,13 @@ AT_LEAST, PER = 75, 100
 BUCKET_TOKENS = 1_000_000
 #: Entries held by a task before it deals them out.
 FLUSH_TOKENS = 1_500_000
-#: Bits of the filter that the second reading of the texts is screened with (fixed: 4 MB).
-FILTER_BITS = 1 << 25
+#: A task counts a shingle that this many of the sets it holds have, instead of dealing each.
+LOCAL = 4
+#: A shingle of more sets than this, and than this share of all entries, is hot.
+HOT_SETS, HOT_SHARE = 20_000, 200_000
+#: Stands for a set in the buckets, and for "several sets have this shingle".
+WITNESS = np.int64(-(1 << 63))
+MAX_BUCKETS = 1 << 24
 STAR_ROUNDS = 2
 #: Classes of several sets are sent to all tasks while they take no more than this; bytes of one.
 BROADCAST_BYTES, CLASS_BYTES = 8 << 20, 64
@@ -69,11 +77,21 @@ def _sampled(tokens: np.ndarray) -> np.ndarray:
     return (tokens & K.U64(1)) == 0
 
 
-def _measure(text: str, doc_id: str, width: int):
+SIZED = "doc_id bigint, n bigint, half bigint, fp bigint, n_words bigint"
+
+
+def _measure(text: str, doc_id: str, width: int, carry: list[str]):
+    """Size, sampled size, fingerprint and words of each text's set, and the columns to carry."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, tokens, begin, fp in _sets(batches, text, width):
+        for table, buf, off in K.chunks(batches, text):
+            hashes, first = K.words(buf, off, K.SPACE_WORD)
+            tokens, begin = K.shingle_sets(hashes, first, width)
             half = np.concatenate([[0], np.cumsum(_sampled(tokens))])[begin]
-            yield pa.RecordBatch.from_arrays([table[doc_id].combine_chunks().cast(pa.int64()), pa.array(np.diff(begin)), pa.array(np.diff(half)), pa.array(fp)], names=["doc_id", "n", "half", "fp"])
+            own = [pa.array(x) for x in (np.diff(begin), np.diff(half), fingerprints(tokens, begin), np.diff(first).astype(np.int64))]
+            kept = [table[c].combine_chunks() for c in carry]
+            names = ["doc_id", "n", "half", "fp", "n_words", *carry]
+            yield pa.RecordBatch.from_arrays([table[doc_id].combine_chunks().cast(pa.int64()), *own, *kept], names=names)
 
     return run
 
@@ -88,40 +106,68 @@ def fingerprinted(docs: DataFrame, text: str = "text", width: int = WIDTH) -> Da
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
 
 
+def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    return ((tokens >> K.U64(40)).astype(np.int64) * buckets) >> 24
+
+
 class Dealer:
     """Entries gathered by set and dealt to buckets: a row per bucket with sets, counts and packed tokens."""
 
-    NAMES = ["bucket", "fp", "counts", "low", "high"]
-    SCHEMA = "bucket int, fp binary, counts binary, low binary, high binary"
+    NAMES = ["bucket", "fp", "counts", "low", "high", "known"]
+    SCHEMA = "bucket int, fp binary, counts binary, low binary, high binary, known binary"
 
-    def __init__(self, buckets: int):
-        self.buckets, self.held, self.size = buckets, [], 0
+    def __init__(self, buckets: int, local: int = 0):
+        self.buckets, self.local, self.held, self.size = buckets, local, [], 0
+        self.sets: set[int] = set()
 
     def add(self, fp: np.ndarray, tokens: np.ndarray, counts: np.ndarray):
         self.held.append((fp, tokens, counts))
         self.size += len(tokens) + len(fp)
+        if self.local:
+            self.sets.update(fp.tolist())
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
         fp, tokens, counts = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.size = [], 0
-        bucket = ((tokens >> K.U64(48)).astype(np.int64) * self.buckets) >> 16
+        self.sets.clear()
         owner = np.repeat(np.arange(len(fp)), counts)
-        order = np.argsort(bucket.astype(np.uint16), kind="stable")
+        known = np.zeros(0, np.dtype([("fp", "i8"), ("n", "i4")]))
+        if self.local:  # the sets held are distinct, and so are the tokens of each
+            order = np.argsort(tokens)
+            at = _runs(tokens[order])
+            often = np.flatnonzero(np.diff(at) >= self.local)
+            hot = np.zeros(len(tokens), bool)
+            hot[order] = np.repeat(np.diff(at) >= self.local, np.diff(at))
+            n = np.bincount(owner[hot], minlength=len(fp))
+            known = np.zeros(np.count_nonzero(n), known.dtype)
+            known["fp"], known["n"] = fp[n > 0], n[n > 0]
+            seen = tokens[order[at[often]]]
+            fp = np.append(fp, WITNESS)
+            tokens, owner = np.concatenate([tokens[~hot], seen]), np.concatenate([owner[~hot], np.full(len(seen), len(fp) - 1)])
+        bucket = _bucket(tokens, self.buckets)
+        order = np.argsort(bucket.astype(np.uint16 if self.buckets <= 1 << 16 else np.int32), kind="stable")
         bucket, owner, tokens = bucket[order], owner[order], tokens[order]
-        edges = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        rows: list[list] = [[], [], [], [], []]
-        for k in range(self.buckets):
-            b, e = edges[k], edges[k + 1]
-            if b == e:
-                continue
+        edges = _runs(bucket)
+        share = -(-len(known) // max(1, len(edges) - 1))
+        rows: list[list] = [[] for _ in self.NAMES]
+        for k, (b, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             who = owner[b:e]
             at = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
             t = tokens[b:e] & LOW48
-            for col, v in zip(rows, (k, fp[who[at]].tobytes(), np.diff(np.append(at, e - b)).astype(np.uint32).tobytes(), (t & K.U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (t >> K.U64(32)).astype(np.uint16).tobytes()), strict=True):
-                col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=self.NAMES)
+            packed = (
+                int(bucket[b]),
+                fp[who[at]].tobytes(),
+                np.diff(np.append(at, e - b)).astype(np.uint32).tobytes(),
+                (t & K.U64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
+                (t >> K.U64(32)).astype(np.uint16).tobytes(),
+                known[k * share : (k + 1) * share].tobytes(),
+            )
+            for column, v in zip(rows, packed, strict=True):
+                column.append(v)
+        columns = [pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])]
+        yield pa.RecordBatch.from_arrays(columns, names=self.NAMES)
 
 
 def _undeal(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -136,10 +182,11 @@ def _undeal(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _deal_sample(text: str, width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = Dealer(buckets)
+        dealer = Dealer(buckets, LOCAL)
         for _, tokens, begin, fp in _sets(batches, text, width):
             first = np.zeros(len(fp), bool)
             first[np.unique(fp, return_index=True)[1]] = True
+            first &= np.array([f not in dealer.sets for f in fp.tolist()], bool)
             keep = _sampled(tokens) & np.repeat(first, np.diff(begin))
             counts = np.diff(np.concatenate([[0], np.cumsum(keep)])[begin])
             dealer.add(fp[counts > 0], tokens[keep], counts[counts > 0])
@@ -164,8 +211,9 @@ def _shared_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray
     length = np.diff(at)
     several = np.zeros(len(length), bool)
     if len(length):
-        several = np.minimum.reduceat(fp, at[:-1]) != np.maximum.reduceat(fp, at[:-1])
-    keep = np.repeat(several, length)
+        least = np.minimum.reduceat(fp, at[:-1])
+        several = (least == WITNESS) | (least != np.maximum.reduceat(fp, at[:-1]))
+    keep = np.repeat(several, length) & (fp != WITNESS)
     fp, token = fp[keep], token[keep]
     order = np.lexsort((fp, token))
     fp, token = fp[order], token[order]
@@ -176,27 +224,22 @@ def _shared_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _count_shared(table: pa.Table) -> pa.Table:
+    """How many of each set's tokens are shared: those of the bucket, and those its tasks have counted.
+
+    A set that several tasks hold is counted by each: never too little, so none that can link is lost.
+    """
     fp, _, _ = _shared_entries(table)
     who, n = np.unique(fp, return_counts=True)
-    return pa.table({"fp": who, "shared": n.astype(np.int64)})
-
-
-def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for b in batches:
-        slot = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & K.U64(FILTER_BITS - 1)
-        np.bitwise_or.at(bits, (slot >> K.U64(3)).astype(np.int64), np.left_shift(1, (slot & K.U64(7)).astype(np.uint8)).astype(np.uint8))
-    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+    known = np.frombuffer(b"".join(table["known"].to_pylist()), np.dtype([("fp", "i8"), ("n", "i4")]))
+    return pa.table({"fp": np.concatenate([who, known["fp"]]), "shared": np.concatenate([n, known["n"]]).astype(np.int64)})
 
 
 def _read_sets(text: str, width: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, seen = np.frombuffer(bits.value, np.uint8), set()
+        seen: set[int] = set()
         for _, tokens, begin, fp in _sets(batches, text, width):
-            slot = fp.view(np.uint64) & K.U64(FILTER_BITS - 1)
-            maybe = np.flatnonzero((mask[(slot >> K.U64(3)).astype(np.int64)] >> (slot & K.U64(7)).astype(np.uint8)) & 1)
             out = []
-            for d in maybe.tolist():
+            for d in np.flatnonzero(maybe_in(np.frombuffer(bits.value, np.uint8), fp)).tolist():
                 if begin[d + 1] > begin[d] and int(fp[d]) not in seen:
                     seen.add(int(fp[d]))
                     out.append((int(fp[d]), tokens[begin[d] : begin[d + 1]].tobytes()))
@@ -210,15 +253,80 @@ def _binary_lists(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(buf.tobytes(), kind), off // np.dtype(kind).itemsize
 
 
-def _deal_sets(buckets: int):
+def _held_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """fp, tokens and counts of written sets, in pieces of about FLUSH_TOKENS."""
+    held, size = [], 0
+    for b in batches:
+        tokens, off = _binary_lists(b.column("tokens"), np.uint64)
+        held.append((b.column("fp").to_numpy(zero_copy_only=False), tokens, np.diff(off)))
+        size += len(tokens)
+        if size >= FLUSH_TOKENS:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _count_often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens that several of the sets held together have, with their number there."""
+    for _, tokens, _ in _held_sets(batches):
+        tokens = np.sort(tokens)
+        at = _runs(tokens)
+        n = np.diff(at)
+        often = n >= LOCAL
+        columns = [pa.array(tokens[at[:-1][often]].view(np.int64)), pa.array(n[often].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["token", "df"])
+
+
+def hot_tokens(sets: DataFrame, entries: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens (sorted) of more sets than HOT_SETS and than this share of all entries, and about how many sets.
+
+    They are fewer than HOT_SHARE. One that tasks see less than LOCAL times in each piece is missed, and then
+    has less than LOCAL of every FLUSH_TOKENS entries.
+    """
+    found = sets.mapInArrow(_count_often, "token bigint, df bigint").groupBy("token").agg(F.sum("df").alias("df"))
+    found = found.where(F.col("df") > max(HOT_SETS, entries // HOT_SHARE)).toArrow()
+    token, df = (found[c].to_numpy() for c in ("token", "df"))
+    order = np.argsort(token.view(np.uint64))
+    return token.view(np.uint64)[order], df[order].astype(np.int64)
+
+
+def _among(tokens: np.ndarray, sorted_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens are among the sorted ones, and where."""
+    if not len(sorted_tokens):
+        return np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
+    at = np.minimum(np.searchsorted(sorted_tokens, tokens), len(sorted_tokens) - 1)
+    return sorted_tokens[at] == tokens, at
+
+
+def _named(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """The index's name of a token: what is left of it in its bucket, and the bucket."""
+    return (tokens & LOW48) ^ (_bucket(tokens, buckets).astype(np.uint64) * K.U64(0x9E3779B97F4A7C15))
+
+
+def _deal_sets(buckets: int, hot):
+    """Entries of the sets, but those of hot tokens, dealt by token."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = Dealer(buckets)
-        for b in batches:
-            tokens, off = _binary_lists(b.column("tokens"), np.uint64)
-            dealer.add(b.column("fp").to_numpy(zero_copy_only=False), tokens, np.diff(off))
-            if dealer.size >= FLUSH_TOKENS:
-                yield from dealer.flush()
-        yield from dealer.flush()
+        for fp, tokens, counts in _held_sets(batches):
+            usual = ~_among(tokens, hot.value[0])[0]
+            owner = np.repeat(np.arange(len(fp)), counts)[usual]
+            n = np.bincount(owner, minlength=len(fp))
+            dealer.add(fp[n > 0], tokens[usual], n[n > 0])
+            yield from dealer.flush()
+
+    return run
+
+
+def _hot_entries(buckets: int, hot):
+    """The sets' entries of hot tokens, in the form in which the buckets send theirs to the groups of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fp, tokens, counts in _held_sets(batches):
+            mine, at = _among(tokens, hot.value[0])
+            entry = np.repeat(fp, counts)[mine]
+            yield from _by_group(entry, _named(tokens[mine], buckets), hot.value[1][at[mine]], entry, buckets).to_batches()
 
     return run
 
@@ -229,22 +337,41 @@ def _blobs(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, ends.buffers()[1], pa.py_buffer(values.tobytes())])
 
 
-def _frequencies(groups: int):
-    """A bucket's shared tokens (the bucket put back on top) and their frequencies, packed by group of sets.
+def _by_group(fp: np.ndarray, token: np.ndarray, df: np.ndarray, entries: np.ndarray, groups: int) -> pa.Table:
+    """Shared tokens with their frequencies, packed by group of sets.
 
-    Every set of the bucket also has its count of tokens there, shared or not: they add up to its size.
+    Every set also has its number of ``entries``, shared or not: over all buckets they add up to its size.
     """
+    order = np.lexsort((fp, _group(fp, groups)))
+    fp, token, df = fp[order], token[order], df[order].astype(np.int64)
+    all_fp, counted = np.unique(entries, return_counts=True)
+    own = np.argsort(_group(all_fp, groups), kind="stable")
+    all_fp, counted = all_fp[own], counted[own].astype(np.int32)
+    every = np.unique(_group(all_fp, groups))
+
+    def ends(x: np.ndarray) -> np.ndarray:
+        return np.append(np.searchsorted(_group(x, groups), every), len(x))
+
+    return pa.table(
+        {
+            "grp": every.astype(np.int32),
+            "sets": _blobs(all_fp, ends(all_fp)),
+            "counts": _blobs(counted, ends(all_fp)),
+            "fp": _blobs(fp, ends(fp)),
+            "tokens": _blobs(token, ends(fp)),
+            "dfs": _blobs(np.minimum(df, (1 << 31) - 1).astype(np.int32), ends(fp)),
+        }
+    )
+
+
+def _frequencies(groups: int):
+    """A bucket's shared tokens, named, and their frequencies, packed by group of sets."""
+
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py() if table.num_rows else 0
-        all_fp, counted = np.unique(_undeal(table)[0], return_counts=True)
         fp, token, df = _shared_entries(table)
-        order = np.lexsort((fp, _group(fp, groups)))
-        fp, token, df = fp[order], token[order] | (K.U64(bucket) << K.U64(48)), df[order].astype(np.int32)
-        own = np.argsort(_group(all_fp, groups), kind="stable")
-        all_fp, counted = all_fp[own], counted[own].astype(np.int32)
-        every = np.unique(_group(all_fp, groups))
-        ends = lambda x: np.append(np.searchsorted(_group(x, groups), every), len(x))
-        return pa.table({"grp": every.astype(np.int32), "sets": _blobs(all_fp, ends(all_fp)), "counts": _blobs(counted, ends(all_fp)), "fp": _blobs(fp, ends(fp)), "tokens": _blobs(token, ends(fp)), "dfs": _blobs(df, ends(fp))})
+        name = token ^ np.full(1, bucket, np.uint64) * K.U64(0x9E3779B97F4A7C15)
+        return _by_group(fp, name, df, _undeal(table)[0], groups)
 
     return run
 
@@ -286,25 +413,83 @@ def _assemble(at_least: int, per: int):
 ENTRY = np.dtype([("token", "u8"), ("fp", "i8"), ("label", "i8"), ("pivot", "i8"), ("n", "i4"), ("pos", "i4"), ("central", "f4"), ("pad", "i4")])
 
 
-def _deal_prefixes(buckets: int):
-    """Index entries of each set's prefix, dealt by token."""
+def _prefix_entries(b: pa.RecordBatch) -> np.ndarray:
+    """Index entries of each set's prefix."""
+    prefix, off = _binary_lists(b.column("prefix"), np.uint64)
+    own = np.diff(K.text_buffer(b.column("tokens"))[1]) // 8
+    owner = np.repeat(np.arange(b.num_rows), np.diff(off))
+    e = np.zeros(len(prefix), ENTRY)
+    n = b.column("n").to_numpy(zero_copy_only=False)
+    e["token"], e["n"] = prefix, n[owner]
+    for c in ("fp", "label", "pivot", "central"):
+        e[c] = b.column(c).to_numpy(zero_copy_only=False)[owner]
+    e["pos"] = np.arange(len(prefix)) - off[:-1][owner] + (n - own)[owner]
+    return e
+
+
+def _dealt(e: np.ndarray, salt: np.ndarray, buckets: int) -> pa.RecordBatch:
+    bucket = (K.mix(e["token"] + salt.astype(np.uint64) * K.U64(0xD6E8FEB86659FD93)) % K.U64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    e, bucket = e[order], bucket[order]
+    at = _runs(bucket)
+    packed = [e[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+    columns = [pa.array(bucket[at[:-1]].astype(np.int32)), pa.array(packed, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "entries"])
+
+
+def _deal_prefixes(buckets: int, hot, nth: int):
+    """Index entries dealt by token; those of a hot token by a salt too, another one in each round."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, parts = hot.value
         for b in batches:
-            prefix, off = _binary_lists(b.column("prefix"), np.uint64)
-            own = np.diff(K.text_buffer(b.column("tokens"))[1]) // 8
-            count = np.diff(off)
-            owner = np.repeat(np.arange(b.num_rows), count)
-            e = np.zeros(len(prefix), ENTRY)
-            n = b.column("n").to_numpy(zero_copy_only=False)
-            e["token"], e["n"] = prefix, n[owner]
-            for c in ("fp", "label", "pivot", "central"):
-                e[c] = b.column(c).to_numpy(zero_copy_only=False)[owner]
-            e["pos"] = np.arange(len(prefix)) - off[:-1][owner] + (n - own)[owner]
-            bucket = (K.mix(prefix) % K.U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            e, bucket = e[order], bucket[order]
-            at = _runs(bucket)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].astype(np.int32)), pa.array([e[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["bucket", "entries"])
+            e = _prefix_entries(b)
+            mine, at = _among(e["token"], names)
+            salt = np.zeros(len(e), np.int64)
+            own = K.mix(e["fp"][mine].view(np.uint64) + K.U64(nth)) % parts[at[mine]].astype(np.uint64)
+            salt[mine] = own.astype(np.int64)
+            yield _dealt(e, salt, buckets)
+
+    return run
+
+
+def _label_range(hot):
+    """Smallest and largest class among the entries of each hot token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, _ = hot.value
+        low, high = np.full(len(names), np.iinfo(np.int64).max), np.full(len(names), np.iinfo(np.int64).min)
+        for b in batches:
+            e = _prefix_entries(b)
+            mine, at = _among(e["token"], names)
+            np.minimum.at(low, at[mine], e["label"][mine])
+            np.maximum.at(high, at[mine], e["label"][mine])
+        met = np.flatnonzero(low <= high)
+        columns = [pa.array(x) for x in (met.astype(np.int32), low[met], high[met])]
+        yield pa.RecordBatch.from_arrays(columns, names=["at", "low", "high"])
+
+    return run
+
+
+def _deal_pairs_of_parts(buckets: int, hot, mixed):
+    """Index entries dealt by token; those of hot tokens with several classes to every pair of parts of theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, parts = hot.value
+        for b in batches:
+            e = _prefix_entries(b)
+            mine, at = _among(e["token"], names)
+            yield _dealt(e[~mine], np.zeros(np.count_nonzero(~mine), np.int64), buckets)
+            keep = np.flatnonzero(mine)[mixed.value[at[mine]]] if len(names) else np.zeros(0, np.int64)
+            if len(keep):
+                many = parts[at[keep]]
+                part = (K.mix(e["fp"][keep].view(np.uint64)) % many.astype(np.uint64)).astype(np.int64)
+                entry = np.repeat(np.arange(len(keep)), many)
+                other = np.arange(len(entry)) - np.repeat(np.cumsum(many) - many, many)
+                x, y = np.minimum(part[entry], other), np.maximum(part[entry], other)
+                for k in range(0, len(entry), FLUSH_TOKENS):
+                    cut = slice(k, k + FLUSH_TOKENS)
+                    yield _dealt(e[keep[entry[cut]]], 1 + x[cut] * many[entry[cut]] + y[cut], buckets)
 
     return run
 
@@ -434,63 +619,104 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, at_least: int = AT_LEAST, per: int = PER) -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_join(
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    width: int = WIDTH,
+    at_least: int = AT_LEAST,
+    per: int = PER,
+    carry: dict[str, Column] | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, classes, links).
 
-    documents: doc_id, n_shingles, fp (the set). classes: fp, component (a set's fp). links: the
-    verified or derived pairs (a, b) of sets that connect the classes.
+    documents: doc_id, n_shingles, fp (the set), n_words, and the columns of ``carry`` under their names.
+    classes: fp, component (a set's fp). links: the verified or derived pairs (a, b) of sets that connect
+    the classes.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sized = written(docs.mapInArrow(_measure("text", "doc_id", width), "doc_id bigint, n bigint, half bigint, fp bigint"))
+    carried = [column.alias(name) for name, column in (carry or {}).items()]
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carried)
+    fields = [f for f in docs.schema.fields if f.name in (carry or {})]
+    schema = T.StructType([*T._parse_datatype_string(SIZED).fields, *fields])
+    sized = written(docs.mapInArrow(_measure("text", "doc_id", width, [f.name for f in fields]), schema))
+    docs = docs.select("text")
     distinct = sized.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("half").alias("half"))
     total = sized.agg(F.sum("half")).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # 1. screen
-    buckets = min(1 << 16, max(2 * least, -(-total // BUCKET_TOKENS)))
-    shared = docs.mapInArrow(_deal_sample("text", width, buckets), Dealer.SCHEMA).groupBy("bucket").applyInArrow(_count_shared, "fp bigint, shared bigint").groupBy("fp").agg(F.sum("shared").alias("shared"))
+    buckets = min(MAX_BUCKETS, max(2 * least, -(-total // BUCKET_TOKENS)))
+    dealt = docs.mapInArrow(_deal_sample("text", width, buckets), Dealer.SCHEMA)
+    shared = dealt.groupBy("bucket").applyInArrow(_count_shared, "fp bigint, shared bigint")
+    shared = shared.groupBy("fp").agg(F.sum("shared").alias("shared"))
     missing = F.col("half") - F.coalesce("shared", F.lit(0))
-    left = written(distinct.join(shared, "fp", "left").where(missing <= F.col("n") - F.ceil(F.col("n") * at_least / per)).select("fp", "n"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in left.select("fp").coalesce(16).mapInArrow(_filter_bits, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(row[0], np.uint8)
-    sets = written(docs.mapInArrow(_read_sets("text", width, spark.sparkContext.broadcast(bits.tobytes())), "fp bigint, tokens binary").groupBy("fp").agg(F.first("tokens").alias("tokens")).join(left, "fp"))
+    left = distinct.join(shared, "fp", "left").where(missing <= F.col("n") - F.ceil(F.col("n") * at_least / per))
+    left = written(left.select("fp", "n"))
+    bits = spark.sparkContext.broadcast(id_filter(left.select("fp")).tobytes())
+    sets = docs.mapInArrow(_read_sets("text", width, bits), "fp bigint, tokens binary")
+    sets = written(sets.groupBy("fp").agg(F.first("tokens").alias("tokens")).join(left, "fp"))
     # 2. index
     tokens = sets.agg(F.sum("n")).first()[0] or 0
-    buckets = min(1 << 16, max(least, -(-tokens // BUCKET_TOKENS)))
-    packed = sets.mapInArrow(_deal_sets(buckets), Dealer.SCHEMA).groupBy("bucket").applyInArrow(_frequencies(buckets), PACKED)
+    buckets = min(MAX_BUCKETS, max(least, -(-tokens // BUCKET_TOKENS)))
+    token, df = hot_tokens(sets, tokens)
+    hot = spark.sparkContext.broadcast((token, df))
+    packed = sets.mapInArrow(_deal_sets(buckets, hot), Dealer.SCHEMA).groupBy("bucket").applyInArrow(_frequencies(buckets), PACKED)
+    if len(token):
+        packed = packed.union(sets.mapInArrow(_hot_entries(buckets, hot), PACKED))
     sets = written(packed.groupBy("grp").applyInArrow(_assemble(at_least, per), SETS))
+    name = _named(token, buckets)
+    order = np.argsort(name)
+    hot = spark.sparkContext.broadcast((name[order], -(-df[order] // HOT_SETS) + 1))
     # 3. stars
     classes = sets.select("fp", F.col("fp").alias("label"), F.col("fp").alias("pivot"), F.lit(0.0).alias("near"))
     links = None
-    lists = lambda: sets.join(classes, "fp").mapInArrow(_deal_prefixes(buckets), "bucket int, entries binary").groupBy("bucket")
+    entries = "bucket int, entries binary"
     for nth in range(STAR_ROUNDS):
-        star = lists().applyInArrow(_stars(nth, at_least, per), "a bigint, b bigint, lists bigint").groupBy("a", "b").agg(F.sum("lists").alias("lists")).groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
+        lists = sets.join(classes, "fp").mapInArrow(_deal_prefixes(buckets, hot, nth), entries).groupBy("bucket")
+        star = lists.applyInArrow(_stars(nth, at_least, per), "a bigint, b bigint, lists bigint")
+        star = star.groupBy("a", "b").agg(F.sum("lists").alias("lists"))
+        star = star.groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
         checked = written(verified(star, sets, at_least, per).where("link"))
         links = checked if links is None else links.union(checked)
         reached = components(links)
         near = links.groupBy(F.col("a").alias("fp")).agg(F.min_by(F.struct("b", "dist"), F.struct("dist", "b")).alias("x"))
-        classes = written(sets.select("fp").join(reached.withColumnRenamed("node", "fp"), "fp", "left").join(near, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("x.b", "fp").alias("pivot"), F.coalesce("x.dist", F.lit(0.0)).alias("near")))
+        classes = sets.select("fp").join(reached.withColumnRenamed("node", "fp"), "fp", "left").join(near, "fp", "left")
+        label, pivot = F.coalesce("label", "fp").alias("label"), F.coalesce("x.b", "fp").alias("pivot")
+        classes = written(classes.select("fp", label, pivot, F.coalesce("x.dist", F.lit(0.0)).alias("near")))
     # 4. the rest
-    rest = written(lists().applyInArrow(_rest(at_least, per), "a bigint, b bigint, p bigint, q bigint").distinct())
+    prefixes = sets.join(classes, "fp")
+    mixed = np.zeros(len(token), bool)
+    if len(token):
+        ranges = prefixes.mapInArrow(_label_range(hot), "at int, low bigint, high bigint")
+        ranges = ranges.groupBy("at").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+        mixed[[r["at"] for r in ranges.collect()]] = True
+    mixed = spark.sparkContext.broadcast(mixed)
+    lists = prefixes.mapInArrow(_deal_pairs_of_parts(buckets, hot, mixed), entries).groupBy("bucket")
+    rest = written(lists.applyInArrow(_rest(at_least, per), "a bigint, b bigint, p bigint, q bigint").distinct())
     if not rest.isEmpty():
         limit, slack = 1 - at_least / per, 1e-9
         near = classes.select("fp", "near")
         ordered = rest.select("*", F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"))
-        between = written(verified(ordered.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), sets, at_least, per))
+        pivots = ordered.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+        between = written(verified(pivots, sets, at_least, per))
         known = (
             ordered.join(between.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("dist").alias("pq")), ["u", "v"], "left")
             .join(near.select(F.col("fp").alias("a"), F.col("near").alias("ap")), "a")
             .join(near.select(F.col("fp").alias("b"), F.col("near").alias("bq")), "b")
             .withColumns({"pq": F.coalesce("pq", F.lit(0.0)), "arms": F.col("ap") + F.col("bq")})
         )
-        known = written(known.withColumn("derived", F.when(F.col("pq") + F.col("arms") <= limit - slack, 1).when(F.col("pq") - F.col("arms") > limit + slack, -1).otherwise(0)).select("a", "b", "derived"))
+        surely, never = F.col("pq") + F.col("arms") <= limit - slack, F.col("pq") - F.col("arms") > limit + slack
+        derived = F.when(surely, 1).when(never, -1).otherwise(0).alias("derived")
+        known = written(known.select("a", "b", derived))
         derived = known.where("derived = 1").select("a", "b", F.lit(limit).alias("dist"), F.lit(True).alias("link"))
         checked = verified(known.where("derived = 0"), sets, at_least, per).where("link")
         links = written(links.union(between.where("link")).union(derived).union(checked))
         reached = components(links)
-        classes = written(sets.select("fp").join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")))
-    return sized.select("doc_id", F.col("n").alias("n_shingles"), "fp"), classes.select("fp", F.col("label").alias("component")), links.select("a", "b")
+        classes = sets.select("fp").join(reached.withColumnRenamed("node", "fp"), "fp", "left")
+        classes = written(classes.select("fp", F.coalesce("label", "fp").alias("label")))
+    documents = sized.select("doc_id", F.col("n").alias("n_shingles"), "fp", "n_words", *(carry or {}))
+    return documents, classes.select("fp", F.col("label").alias("component")), links.select("a", "b")
 
 
 def near_duplicate_components(docs: DataFrame, **options) -> DataFrame:
@@ -542,34 +768,3 @@ select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, coalesce(m.c, d.doc_id) co
 }
 QUERIES = {"op3_jaccard_join": op3_jaccard_join}
 
-
-def brute_force(rows, width=WIDTH, at_least=AT_LEAST, per=PER):
-    """doc_id -> (size, component) by comparing all pairs of distinct sets: for small tables in tests."""
-    import re
-
-    sets = {}
-    for doc, text in rows:
-        w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        sets[doc] = frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
-    root = {d: d for d in sets}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    holders: dict = {}
-    for d, s in sets.items():
-        for g in s:
-            holders.setdefault(g, []).append(d)
-    pairs: dict = {}
-    for who in holders.values():
-        for i, a in enumerate(who):
-            for b in who[i + 1 :]:
-                pairs[a, b] = pairs.get((a, b), 0) + 1
-    for (a, b), n in pairs.items():
-        if per * n >= at_least * (len(sets[a]) + len(sets[b]) - n):
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
-    return {d: (len(s), find(d)) for d, s in sets.items()}

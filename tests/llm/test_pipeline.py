@@ -1,11 +1,11 @@
 """The pipeline's stages, each against brute force on its own input."""
 
 import corpus_pipeline as C
-from tessera.llm import jaccard_join as J
 from tessera.llm import toxicity as X
 from tessera.llm.common import read, without_ids, written
 from tests.llm import tables
 from tests.llm.test_decontaminate import brute
+from tests.llm.test_jaccard_join import brute_force
 
 SF = "/root/testdata/sf0.01"
 
@@ -23,7 +23,7 @@ def test_stages_one_after_the_other(spark):
             assert docs.columns == columns
     got = {name: {r.doc_id: r for r in df.collect()} for name, df in kept[:-1]}
     assert set(got["toxicity"]) == {d for d, p in scores.items() if not p}
-    groups = J.brute_force((d, rows[d].text) for d in got["toxicity"])
+    groups = brute_force((d, rows[d].text) for d in got["toxicity"])
     assert set(got["near_duplicates"]) == {c for _, c in groups.values()}
     items = [(r.item_id, r.text) for r in read(spark, SF, "benchmark").collect()]
     clean = {d for d in got["near_duplicates"] if not brute(rows[d].text, items)[1]}
