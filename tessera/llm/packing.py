@@ -1,8 +1,8 @@
 """Conflict-constrained best-fit packing of documents into fixed-size bins.
 
 Documents (pieces of at most ``capacity`` tokens) are dealt by hash to shards of about ``SHARD_ROWS``
-rows, so that a hot source or a large duplicate cluster is spread over all shards; each shard is packed
-by itself, longest pieces first. Open bins are ordered by residual. A bin carries a bitmap of the sources
+rows, so that a hot source or a large duplicate cluster is spread over all shards (rows that are repeated
+very often are dealt by their place as well); each shard is packed by itself, longest pieces first. Open bins are ordered by residual. A bin carries a bitmap of the sources
 and one of the duplicate clusters in it; a piece takes the tightest bin that fits and holds neither its
 source nor its cluster. The successor search starts at the piece's length and goes on to the next larger
 residual until such a bin is found; if none is, a bin is opened. Bins of equal residual and source bitmap
@@ -18,7 +18,6 @@ conflicts with nothing. Repeated rows are packed each. Other columns are not car
 
 from __future__ import annotations
 
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,7 +85,8 @@ class Bins:
 
 def bits(values: list, counts: dict) -> dict:
     """A bit for each value that stands more than once in the shard; 0 for the others, which cannot conflict."""
-    return {v: 1 << k for k, v in enumerate(sorted((v for v in set(values) if v is not None and counts[v] > 1), key=str))}
+    several = sorted((v for v in set(values) if v is not None and counts.get(v, 0) > 1), key=str)
+    return {v: 1 << k for k, v in enumerate(several)}
 
 
 def pack_shard(doc: list, length: list[int], source: list, cluster: list, capacity: int) -> list[tuple]:
@@ -100,7 +100,7 @@ def pack_shard(doc: list, length: list[int], source: list, cluster: list, capaci
     for _, row, _ in pieces:
         counts_s[source[row]] = counts_s.get(source[row], 0) + 1
         counts_c[cluster[row]] = counts_c.get(cluster[row], 0) + 1
-    s_bit, c_bit = bits(source, {**dict.fromkeys(source, 0), **counts_s}), bits(cluster, {**dict.fromkeys(cluster, 0), **counts_c})
+    s_bit, c_bit = bits(source, counts_s), bits(cluster, counts_c)
     pieces.sort(key=lambda p: (-p[0], str(cluster[p[1]]), str(doc[p[1]]), p[1], p[2]))
     bins, out, aside, run = Bins(capacity), [], [], None
     for n, row, k in pieces:
@@ -127,40 +127,77 @@ def _pack(capacity: int):
         shard = table["shard"][0].as_py()
         cols = [table[c].to_pylist() for c in ("doc_id", "n_tokens", "source", "cluster")]
         packed = pack_shard(*cols, capacity)
-        return pa.table({
-            "doc_id": pa.array([cols[0][p[0]] for p in packed], pa.int64()), "piece": pa.array([p[1] for p in packed], pa.int32()), "n_tokens": pa.array([p[2] for p in packed], pa.int64()),
-            "bin_id": pa.array([f"{shard}:{p[3]}" for p in packed], pa.string()), "bin_offset": pa.array([p[4] for p in packed], pa.int64()),
-        })
+        return pa.table(
+            {
+                "doc_id": pa.array([cols[0][p[0]] for p in packed], pa.int64()),
+                "piece": pa.array([p[1] for p in packed], pa.int32()),
+                "n_tokens": pa.array([p[2] for p in packed], pa.int64()),
+                "bin_id": pa.array([f"{shard}:{p[3]}" for p in packed], pa.string()),
+                "bin_offset": pa.array([p[4] for p in packed], pa.int64()),
+            }
+        )
 
     return run
 
 
-def word_count(text: Column) -> Column:
-    """White-space words of a text."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
-
-
-def near_duplicate_clusters(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Column]:
-    """``docs`` with the component of near-duplicate sets each row belongs to (null where it has no words)."""
-    _, classes, _ = jaccard_join.jaccard_join(docs, doc_id=doc_id, text=text)
+def sized_and_clustered(docs: DataFrame, doc_id: str, text: str, length: Column | None, source: str) -> DataFrame:
+    """doc_id, n_tokens, source and cluster of each row, the texts read by the join alone."""
+    carry = {"__source": F.col(source)}
+    if length is not None:
+        carry["__length"] = length
+    rows, classes, _ = jaccard_join.jaccard_join(docs, doc_id=doc_id, text=text, carry=carry)
     # a set alone in its component is its own cluster, so only the others' components are joined
-    linked = written(classes.where("fp <> component").select(F.col("fp").alias("__set"), F.col("component").alias("__component")))
+    linked = classes.where("fp <> component").select("fp", F.col("component").alias("linked"))
+    linked = written(linked)
     few = linked.count() * jaccard_join.CLASS_BYTES <= jaccard_join.BROADCAST_BYTES
-    rows = jaccard_join.fingerprinted(docs, text).join(F.broadcast(linked) if few else linked, F.col("__fp") == F.col("__set"), "left")
-    return rows, F.coalesce("__component", "__fp")
-
-
-def pack(docs: DataFrame, *, doc_id: str = "doc_id", n_tokens: Column | None = None, text: str = "text", source: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """A row for each piece of a document: PACKED. Rows without tokens have bin null."""
-    length = word_count(F.col(text)) if n_tokens is None else F.coalesce(n_tokens, F.lit(0)).cast("bigint")
+    rows = rows.join(F.broadcast(linked) if few else linked, "fp", "left")
+    cluster = F.when(F.col("n_shingles") > 0, F.coalesce("linked", "fp")).alias("cluster")
+    tokens = F.col("n_words" if length is None else "__length").alias("n_tokens")
+    return rows.select("doc_id", tokens, F.col("__source").alias("source"), cluster)
+
+
+def dealt(sized: DataFrame, shard_rows: int) -> DataFrame:
+    """Rows with their shard: by what they hold, and those repeated very often by their place too."""
+    shards = -(-sized.count() // shard_rows) or 1
+    key = F.xxhash64("doc_id", "source", "n_tokens", "cluster")
+    sized = sized.withColumn("key", key)
+    often = written(sized.groupBy("key").count().where(F.col("count") > max(1, shard_rows // 20)).select("key"))
+    place = F.monotonically_increasing_id()
+    if not often.isEmpty():
+        few = often.count() * jaccard_join.CLASS_BYTES <= jaccard_join.BROADCAST_BYTES
+        marked = F.broadcast(often.withColumn("often", F.lit(True))) if few else often.withColumn("often", F.lit(True))
+        sized = sized.withColumn("place", place).join(marked, "key", "left")
+        sized = sized.withColumn("key", F.when(F.col("often"), F.xxhash64("key", "place")).otherwise(F.col("key")))
+    return sized.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
+
+
+def pack(
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    n_tokens: Column | None = None,
+    text: str = "text",
+    source: str = "source",
+    cluster: Column | None = None,
+    capacity: int = CAPACITY,
+    shard_rows: int = SHARD_ROWS,
+) -> DataFrame:
+    """A row for each piece of a document: PACKED. Rows without tokens have bin null.
+
+    Tokens are words between white space unless ``n_tokens`` tells their number; clusters are those of near
+    duplicates unless ``cluster`` names them.
+    """
+    length = None if n_tokens is None else F.coalesce(n_tokens, F.lit(0)).cast("bigint")
     if cluster is None:
-        docs, cluster = near_duplicate_clusters(docs, doc_id, text)
-    sized = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), length.alias("n_tokens"), F.col(source).alias("source"), cluster.alias("cluster"))
-    shards = -(-docs.count() // shard_rows) or 1
-    # by id and length: copies of one row under one id still share a shard of bounded expected size
-    dealt = sized.where("n_tokens > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "n_tokens"), F.lit(shards)).cast("int"))
-    packed = dealt.groupBy("shard").applyInArrow(_pack(capacity), PACKED)
-    empty = sized.where("n_tokens = 0").select("doc_id", F.lit(0).alias("piece"), "n_tokens", F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("bigint").alias("bin_offset"))
+        sized = sized_and_clustered(docs, doc_id, text, length, source)
+    else:
+        words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
+        tokens = (words if length is None else length).alias("n_tokens")
+        sized = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), tokens, F.col(source).alias("source"), cluster.alias("cluster"))
+    sized = written(sized)
+    packed = dealt(sized.where("n_tokens > 0"), shard_rows).groupBy("shard").applyInArrow(_pack(capacity), PACKED)
+    nowhere = F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("bigint").alias("bin_offset")
+    empty = sized.where("n_tokens = 0").select("doc_id", F.lit(0).alias("piece"), "n_tokens", *nowhere)
     return packed.unionByName(empty)
 
 

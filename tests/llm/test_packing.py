@@ -76,3 +76,38 @@ def test_awkward_rows_and_empty_table(spark):
     assert sum(r.n_tokens for r in got) == sum(len(re.findall(r"[^\x20\x09-\x0d]+", t or "")) for _, t, *_ in tables.documents())
     assert {r.doc_id for r in got if r.bin_id is None} >= {4, 5, 9}
     assert P.pack(tables.frame(spark, [])).count() == 0
+
+
+def test_rows_repeated_without_an_id_share_no_shard(spark):
+    """60,000 rows alike in all that is packed: dealt evenly, not to one shard."""
+    same = spark.range(60_000).selectExpr("cast(null as bigint) doc_id", "5L n_tokens", "'hot' source", "cast(null as bigint) cluster")
+    other = spark.range(3_000).selectExpr("id doc_id", "7L n_tokens", "'a' source", "id cluster")
+    sizes = [r["count"] for r in P.dealt(same.union(other), 7_000).groupBy("shard").count().collect()]
+    assert len(sizes) == 9 and max(sizes) < 1.1 * 63_000 / 9
+
+
+def test_the_query_packs_every_shard_by_best_fit(spark):
+    """The registered query's rows, shard by shard, are those of the step-by-step search over plain bins."""
+    from tests.llm.test_jaccard_join import brute_force
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    group = brute_force((r.doc_id, r.text) for r in docs)
+    of = {r.doc_id: r for r in docs}
+    got = P.op4_pack(spark, "/root/testdata/sf0.001").collect()
+    assert len({r.bin_id.split(":")[0] for r in got if r.bin_id}) == 1
+    bins = {}
+    order = lambda r: (-r.n_tokens, int(r.bin_id.split(":")[1]), r.bin_offset)
+    for r in sorted((r for r in got if r.bin_id), key=order):
+        held = bins.setdefault(r.bin_id, [0, set(), set()])
+        assert r.n_tokens <= P.CAPACITY - held[0] or r.bin_offset < held[0]
+        s, c = of[r.doc_id].source, group[r.doc_id][1]
+        assert s is None or s not in held[1]
+        assert c not in held[2]
+        held[0] += r.n_tokens
+        held[1].add(s)
+        held[2].add(c)
+    assert all(h[0] <= P.CAPACITY for h in bins.values())
+    doc = [r.doc_id for r in docs]
+    source, cluster = [r.source for r in docs], [group[d][1] for d in doc]
+    length = [len(re.findall(r"[^\x20\x09-\x0d]+", r.text or "")) for r in docs]
+    assert abs(len(bins) - plain(doc, length, source, cluster, P.CAPACITY)[2]) <= 0.05 * len(bins) + 2
