@@ -40,6 +40,8 @@ WIDTH = 5
 AT_LEAST, PER = 75, 100
 #: Shingles in one bucket of the screen or the index.
 BUCKET_TOKENS = 1_000_000
+#: Sets in one group whose counts a task adds up.
+GROUP_SETS = 50_000
 #: Entries held by a task before it deals them out.
 FLUSH_TOKENS = 1_500_000
 #: A task counts a shingle that this many of the sets it holds have, instead of dealing each.
@@ -223,15 +225,34 @@ def _shared_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return fp, token, np.repeat(np.diff(_runs(token)), np.diff(_runs(token)))
 
 
-def _count_shared(table: pa.Table) -> pa.Table:
+COUNTED = "grp int, fp binary, shared binary"
+
+
+def _count_shared(groups: int):
     """How many of each set's tokens are shared: those of the bucket, and those its tasks have counted.
 
-    A set that several tasks hold is counted by each: never too little, so none that can link is lost.
+    A row per group of sets. A set that several tasks hold is counted by each: never too little, so none
+    that can link is lost.
     """
-    fp, _, _ = _shared_entries(table)
-    who, n = np.unique(fp, return_counts=True)
-    known = np.frombuffer(b"".join(table["known"].to_pylist()), np.dtype([("fp", "i8"), ("n", "i4")]))
-    return pa.table({"fp": np.concatenate([who, known["fp"]]), "shared": np.concatenate([n, known["n"]]).astype(np.int64)})
+
+    def run(table: pa.Table) -> pa.Table:
+        who, n = np.unique(_shared_entries(table)[0], return_counts=True)
+        known = np.frombuffer(b"".join(table["known"].to_pylist()), np.dtype([("fp", "i8"), ("n", "i4")]))
+        fp, n = np.concatenate([who, known["fp"]]), np.concatenate([n, known["n"]]).astype(np.int64)
+        group = _group(fp, groups)
+        order = np.argsort(group, kind="stable")
+        at = _runs(group[order])
+        grp = pa.array(group[order][at[:-1]].astype(np.int32))
+        return pa.table({"grp": grp, "fp": _blobs(fp[order], at), "shared": _blobs(n[order], at)})
+
+    return run
+
+
+def _add_shared(table: pa.Table) -> pa.Table:
+    """The sum of each set's counts, of one group of sets."""
+    fp, n = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("fp", "shared"))
+    who, at = np.unique(fp, return_inverse=True)
+    return pa.table({"fp": who, "shared": np.bincount(at, n, len(who)).astype(np.int64)})
 
 
 def _read_sets(text: str, width: int, bits):
@@ -643,13 +664,13 @@ def jaccard_join(
     sized = written(docs.mapInArrow(_measure("text", "doc_id", width, [f.name for f in fields]), schema))
     docs = docs.select("text")
     distinct = sized.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("half").alias("half"))
-    total = sized.agg(F.sum("half")).first()[0] or 0
+    total, rows = sized.agg(F.coalesce(F.sum("half"), F.lit(0)), F.count("*")).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # 1. screen
     buckets = min(MAX_BUCKETS, max(2 * least, -(-total // BUCKET_TOKENS)))
     dealt = docs.mapInArrow(_deal_sample("text", width, buckets), Dealer.SCHEMA)
-    shared = dealt.groupBy("bucket").applyInArrow(_count_shared, "fp bigint, shared bigint")
-    shared = shared.groupBy("fp").agg(F.sum("shared").alias("shared"))
+    shared = dealt.groupBy("bucket").applyInArrow(_count_shared(max(least, -(-rows // GROUP_SETS))), COUNTED)
+    shared = shared.groupBy("grp").applyInArrow(_add_shared, "fp bigint, shared bigint")
     missing = F.col("half") - F.coalesce("shared", F.lit(0))
     left = distinct.join(shared, "fp", "left").where(missing <= F.col("n") - F.ceil(F.col("n") * at_least / per))
     left = written(left.select("fp", "n"))
