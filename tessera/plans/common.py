@@ -39,13 +39,11 @@ def order_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER_LISTS = f"(select ok, list(pk order by ok, ln, pk, sk, qty, price, disc) a, list(qty order by ok, ln, pk, sk, qty, price, disc) b from {LINES} group by ok)"
 
 
-def part_graph(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataFrame:
+def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed edges between parts that follow one another in an order."""
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null and src <> dst").distinct()
-    return e if below is None else e.where((F.col("src") < below) & (F.col("dst") < below))
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
+    return e.where("dst is not null and src <> dst").distinct()
 
 
 GRAPH = "(select distinct src, dst from (select l_partkey src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) dst from lineitem) where dst is not null and src <> dst)"
-SPARSE = 400
-SPARSE_GRAPH = f"(select * from {GRAPH} where src < {SPARSE} and dst < {SPARSE})"

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
 from tessera.operators import puzzle, seq, social
-from tessera.plans.common import GRAPH, SPARSE, SPARSE_GRAPH, lines, part_graph, table
+from tessera.plans.common import GRAPH, lines, part_graph, table
 
 c = F.col
 #: A puzzle that propagation alone solves, and its board.
@@ -19,9 +17,9 @@ def pagerank_20(spark, sf):
     return G.pagerank(part_graph(spark, sf), 20)
 
 
-def khop_2(spark, sf, below=SPARSE):
+def khop_2(spark, sf):
     roots = spark.range(5).select((c("id") + 1).alias("node"))
-    return G.k_hop(part_graph(spark, sf, below), roots, 2)
+    return G.k_hop(part_graph(spark, sf), roots, 2)
 
 
 def bfs_levels(spark, sf):
@@ -29,49 +27,48 @@ def bfs_levels(spark, sf):
     return d.groupBy("dist").agg(F.count("*").alias("nodes"))
 
 
-def reach_pairs(spark, sf, below=SPARSE):
+def reach_pairs(spark, sf):
     pairs = spark.range(12).select((c("id") * 7 + 1).alias("src"), (c("id") * 13 + 2).alias("dst"))
-    return G.pair_distances(part_graph(spark, sf, below), pairs)
+    return G.pair_distances(part_graph(spark, sf), pairs)
 
 
-def components(spark, sf, below=SPARSE, every=3):
-    e = part_graph(spark, sf, below).where(f"(src + dst) % {every} = 0")
-    return G.components(e)
+def components(spark, sf):
+    return G.components(part_graph(spark, sf))
 
 
-def components_seeded(spark, sf, below=SPARSE, every=5):
+def components_seeded(spark, sf):
     """Labels start at sources only: a sink's own id never wins."""
-    e = part_graph(spark, sf, below).where(f"(src + dst) % {every} = 0")
+    e = part_graph(spark, sf)
     return G.components(e, e.select(c("src").alias("node")).distinct())
 
 
-def component_sizes(spark, sf, below=SPARSE, every=3):
-    return G.component_sizes(components(spark, sf, below, every))
+def component_sizes(spark, sf):
+    return G.component_sizes(components(spark, sf))
 
 
 def triangles_undirected(spark, sf):
     return G.triangles(part_graph(spark, sf))
 
 
-def triangles_directed(spark, sf, below=SPARSE * 2):
-    return G.directed_triads(part_graph(spark, sf, below))
+def triangles_directed(spark, sf):
+    return G.directed_triads(part_graph(spark, sf))
 
 
 def triangles_wco_synthetic(spark, sf):
     """Arcs (0,k), (k,0), (k,k+1) for k = 1..N, counted by rotation: a hub of degree N."""
-    n = 50_000
+    n = 1_000_000
     k = spark.range(1, n + 1)
     arcs = k.select(F.lit(0).cast("bigint").alias("src"), c("id").alias("dst")).union(k.select(c("id"), F.lit(0).cast("bigint"))).union(k.select(c("id"), c("id") + 1))
     t = G.directed_cycles(arcs)
     return t.agg(F.count("*").alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.sum("c").alias("sc"))
 
 
-def ktruss(spark, sf, below=SPARSE):
-    return G.k_truss(part_graph(spark, sf, below))
+def ktruss(spark, sf):
+    return G.k_truss(part_graph(spark, sf))
 
 
-def ktruss_histogram(spark, sf, below=SPARSE):
-    return G.k_truss(part_graph(spark, sf, below)).groupBy("label").agg(F.count("*").alias("edges"))
+def ktruss_histogram(spark, sf):
+    return G.k_truss(part_graph(spark, sf)).groupBy("label").agg(F.count("*").alias("edges"))
 
 
 def pointer_jump(spark, sf):
@@ -98,28 +95,33 @@ def random_churn(spark, sf):
     return e.agg(F.sum("n").alias("edges"))
 
 
-def social_inputs(spark, sf, below=SPARSE):
+def social_inputs(spark, sf):
     """Queries, friendships, comments, posts and forums derived from orders and events."""
     e = table(spark, sf, "events").select(c("event_id").alias("id"), c("user_id").alias("creator"), "event_type", F.unix_millis(c("ts").cast("timestamp")).alias("ts_ms"))
     is_post = c("event_type").isin("view", "signup")
     posts = e.where(is_post).select("id", "creator", (c("id") % 10).alias("forum"), "ts_ms")
     comments = e.where(~is_post).where("id >= 10").select("id", "creator", (c("id") - 1 - c("id") % 5).alias("link"), "ts_ms")
     forums = e.where("id < 10").select("id", "ts_ms")
-    knows = part_graph(spark, sf, below).select("src", "dst")
+    knows = part_graph(spark, sf).select("src", "dst")
     first = F.lit(1_704_067_200_000).cast("bigint")
     queries = spark.range(8).select((c("id") * 5 + 1).alias("src"), (c("id") * 11 + 3).alias("dst"), first.alias("start_ms"), (first + (c("id") + 1) * 1_500_000).alias("end_ms"))
     return queries, knows, comments, posts, forums
 
 
-def social_paths(spark, sf, below=SPARSE):
-    return social.path_scores(*social_inputs(spark, sf, below))
+def social_paths(spark, sf):
+    return social.path_scores(*social_inputs(spark, sf))
 
 
 QUERIES = {f.__name__: f for f in (pagerank_20, khop_2, bfs_levels, reach_pairs, components, components_seeded, component_sizes, triangles_undirected, triangles_directed, triangles_wco_synthetic, ktruss, ktruss_histogram, pointer_jump, cse_round, sudoku, random_churn, social_paths)}
 _both = lambda e: f"(select src, dst from {e} union select dst, src from {e})"
-_reach = lambda e: f"reach(a, b) as (select src, src from {e} union select dst, dst from {e} union select a, dst from reach join {e} on b = src)"
-_mod = lambda k: f"(select * from {SPARSE_GRAPH} where (src + dst) % {k} = 0)"
-_truss = f"""e as (select distinct least(src, dst) u, greatest(src, dst) v from {SPARSE_GRAPH}),
+#: Smallest labels after thirty rounds, more than the longest way in these graphs has edges.
+_spread = f"""with recursive g as (select * from {_both(GRAPH)} union select src, src from {_both(GRAPH)}),
+r(i, node, label) as (select 0, src, {{first}} from (select distinct src from g)
+ union all select i + 1, g.src, min(label) from r join g on g.dst = r.node where i < 30 group by i + 1, g.src),
+reach as (select node, label from r where i = 30 and label is not null)"""
+_labels = _spread.format(first="src")
+_seeded = _spread.format(first=f"case when src in (select src from {GRAPH}) then src end")
+_truss = f"""e as (select distinct least(src, dst) u, greatest(src, dst) v from {GRAPH}),
 t as (select x.u a, x.v b, y.v c from e x join e y on x.v = y.u join e z on z.u = x.u and z.v = y.v),
 rows_ as (select row(a, b) e, row(a, c) x, row(b, c) y from t union all select row(a, c), row(a, b), row(b, c) from t union all select row(b, c), row(a, b), row(a, c) from t),
 r(i, e, l) as (select 0, e, 2147483648::bigint from (select distinct e from rows_)
@@ -130,22 +132,22 @@ nx as (select e.src, e.dst, deg.d from e join deg using (src) union all select s
 r(i, node, rnk) as (select 0, src, 6000000::bigint from deg union all
  select r.i + 1, nx.dst, sum(case when nx.d is null then 1000000 else (5 * r.rnk) // (6 * nx.d) end)::bigint from r join nx on nx.src = r.node where r.i < 20 group by r.i + 1, nx.dst)
 select node, rnk "rank" from r where i = 20 and rnk > 0""",
-    "khop_2": f"with recursive r(root, dest, n) as (select i, i, 0 from range(1, 6) t(i) union select root, dst, n + 1 from r join {SPARSE_GRAPH} on src = dest where n < 2) select distinct root, dest from r",
+    "khop_2": f"with recursive r(root, dest, n) as (select i, i, 0 from range(1, 6) t(i) union select root, dst, n + 1 from r join {GRAPH} on src = dest where n < 2) select distinct root, dest from r",
     "bfs_levels": f"with recursive g as (select * from {GRAPH}), r(node, dist) as (select 1::bigint, 0::bigint union select dst, dist + 1 from r join g on src = node where dist < 12) select dist, count(*) nodes from (select node, min(dist) dist from r group by node) group by dist",
-    "reach_pairs": f"with recursive p as (select distinct i * 7 + 1 s, i * 13 + 2 t from range(12) x(i)), g as (select * from {SPARSE_GRAPH}), r(s, node, d) as (select s, s, 0::bigint from p union select r.s, dst, d + 1 from r join g on src = node where d < 30) select p.s src, p.t dst, min(d) dist from p join r on r.s = p.s and r.node = p.t group by all",
-    "components": f"with recursive g as (select * from {_both(_mod(3))}), {_reach('g')} select a node, min(b) label from reach group by a",
-    "components_seeded": f"with recursive g as (select * from {_both(_mod(5))}), {_reach('g')} select a node, min(b) label from reach where b in (select src from {_mod(5)}) group by a",
-    "component_sizes": f"with recursive g as (select * from {_both(_mod(3))}), {_reach('g')} select size, count(*) components from (select label, count(*) size from (select a, min(b) label from reach group by a) group by label) group by size",
+    "reach_pairs": f"with recursive p as (select distinct i * 7 + 1 s, i * 13 + 2 t from range(12) x(i)), g as (select * from {GRAPH}), r(s, node, d) as (select s, s, 0::bigint from p union select r.s, dst, d + 1 from r join g on src = node where d < 30) select p.s src, p.t dst, min(d) dist from p join r on r.s = p.s and r.node = p.t group by all",
+    "components": f"{_labels} select node, label from reach",
+    "components_seeded": f"{_seeded} select node, label from reach",
+    "component_sizes": f"{_labels} select size, count(*) components from (select count(*) size from reach group by label) group by size",
     "triangles_undirected": f"with e as (select distinct least(src, dst) u, greatest(src, dst) v from {GRAPH}) select x.u a, x.v b, y.v c from e x join e y on x.v = y.u join e z on z.u = x.u and z.v = y.v",
-    "triangles_directed": f"with e as (select * from {GRAPH} where src < {2 * SPARSE} and dst < {2 * SPARSE}) select x.src a, x.dst b, y.dst c from e x join e y on x.src = y.src join e z on z.src = x.dst and z.dst = y.dst",
-    "triangles_wco_synthetic": "select 3 * 49999::bigint n, s sa, s sb, s sc from (select (sum(k) + sum(k + 1))::bigint s from range(1, 50000) t(k))",
+    "triangles_directed": f"with e as (select * from {GRAPH}) select x.src a, x.dst b, y.dst c from e x join e y on x.src = y.src join e z on z.src = x.dst and z.dst = y.dst",
+    "triangles_wco_synthetic": "select 3 * 999999::bigint n, s sa, s sb, s sc from (select (sum(k) + sum(k + 1))::bigint s from range(1, 1000000) t(k))",
     "ktruss": f"with recursive {_truss} select e[1] src, e[2] dst, l label from r where i = 40",
     "ktruss_histogram": f"with recursive {_truss} select l label, count(*) edges from r where i = 40 group by l",
     "pointer_jump": "select i node, greatest(i - 8, i - i % 100) parent from range(5000) t(i)",
     "cse_round": "select id, sk, disc, min(id) over (partition by sk, disc) class from (select l_suppkey sk, round(l_discount * 100)::bigint disc, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, round(l_discount * 100)::bigint, round(l_extendedprice * 100)::bigint) - 1 id from lineitem)",
     "sudoku": "select i // 9 \"row\", i % 9 \"col\", 1::bigint n, '534678912672195348198342567859761423426853791713924856961537284287419635345286179'[i + 1]::bigint val from range(81) t(i)",
     "random_churn": "select 4000::bigint edges",
-    "social_paths": f"""with recursive g as (select src, dst from {_both(SPARSE_GRAPH)} where src <> dst),
+    "social_paths": f"""with recursive g as (select src, dst from {_both(GRAPH)} where src <> dst),
 q as (select i * 5 + 1 s, i * 11 + 3 t, 1704067200000 st, 1704067200000 + (i + 1) * 1500000 en from range(8) x(i)),
 f(s, node, d) as (select s, s, 0::bigint from q union select f.s, g.dst, d + 1 from f join g on g.src = node where d < 12),
 b(t, node, d) as (select t, t, 0::bigint from q union select b.t, g.dst, d + 1 from b join g on g.src = node where d < 12),
@@ -160,9 +162,3 @@ i as (select least(co.creator, o.creator) a, greatest(co.creator, o.creator) b,
 v as (select path.s, path.t, i.a, i.b, sum(score)::bigint score from path join q on q.s = path.s and q.t = path.t join i on i.a = path.a and i.b = path.b join e fo on fo.id = i.forum and fo.id < 10 where fo.ms between q.st and q.en group by all)
 select path.s src, path.t dst, path.a, path.b, coalesce(v.score, 0)::bigint score from path left join v using (s, t, a, b)""",
 }
-#: The same over the whole graph; those above stand for its small part keys (components: a share of their edges), as their SQL does.
-QUERIES |= {f"{f.__name__}_all": partial(f, below=None) for f in (khop_2, reach_pairs, triangles_directed, ktruss, ktruss_histogram, social_paths)}
-QUERIES |= {f"{f.__name__}_all": partial(f, below=None, every=1) for f in (components, components_seeded, component_sizes)}
-#: Without the components: the recursion would list every pair of connected nodes. Tests hold them against brute force.
-ORACLE |= {f"{name}_all": ORACLE[name].replace(SPARSE_GRAPH, GRAPH) for name in ("khop_2", "reach_pairs", "ktruss", "ktruss_histogram", "social_paths")}
-ORACLE["triangles_directed_all"] = ORACLE["triangles_directed"].replace(f" where src < {2 * SPARSE} and dst < {2 * SPARSE}", "")

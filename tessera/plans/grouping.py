@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
@@ -19,10 +17,10 @@ def equi_join(spark, sf):
     return o.join(cu, c("o_custkey") == c("c_custkey")).select("o_orderkey", "c_custkey", cents("c_acctbal").alias("bal"))
 
 
-def intersect_dups(spark, sf, left="pos < 400", right="pos < 400 and v % 2 = 0"):
+def intersect_dups(spark, sf):
     """Position pairs of equal keys: runs of duplicates give their cross product."""
-    a = _orders(spark, sf).where(left).select("pos", c("o_custkey").alias("k"))
-    b = _orders(spark, sf).where(right).select("pos", c("o_custkey").alias("k"))
+    a = _orders(spark, sf).select("pos", c("o_custkey").alias("k"))
+    b = _orders(spark, sf).select("pos", c("o_custkey").alias("k"))
     return R.equi_positions(a, b, "k")
 
 
@@ -55,8 +53,8 @@ def group_lists(spark, sf):
     return x.select("sk", F.size("values").cast("bigint").alias("n"), F.array_join("values", ",").alias("l"))
 
 
-def group_composite(spark, sf, kept="disc = 3"):
-    x = R.group_lists(lines(spark, sf).where(kept), ["flag", "status"], c("qty"), [c(k) for k in LINE_ORDER])
+def group_composite(spark, sf):
+    x = R.group_lists(lines(spark, sf), ["flag", "status"], c("qty"), [c(k) for k in LINE_ORDER])
     return x.select("flag", "status", F.array_join("values", ",").alias("l"))
 
 
@@ -92,13 +90,13 @@ QUERIES = {f.__name__: f for f in (equi_join, intersect_dups, intersect_lists, x
 _o = "order by ok, ln, pk, sk, qty, price, disc"
 ORACLE = {
     "equi_join": "select o_orderkey, c_custkey, round(c_acctbal * 100)::bigint bal from orders join customer on o_custkey = c_custkey",
-    "intersect_dups": f"select a.o_custkey k, a.pos pos_a, b.pos pos_b from {ORDERS} a join {ORDERS} b on a.o_custkey = b.o_custkey where a.pos < 400 and b.pos < 400 and b.v % 2 = 0",
+    "intersect_dups": f"select a.o_custkey k, a.pos pos_a, b.pos pos_b from {ORDERS} a join {ORDERS} b on a.o_custkey = b.o_custkey",
     "intersect_lists": f"with n as (select ok, qty, row_number() over (partition by ok {_o}) - 1 p from {LINES}) select a.ok, a.p i, b.p j from n a join n b on a.ok = b.ok and a.qty = b.qty + 1",
     "xprod_per_order": f"select a.ok, count(*) pairs, sum(a.pk * b.qty)::bigint dot from {LINES} a join {LINES} b on a.ok = b.ok group by a.ok",
     "group_join": "select c_custkey k, count(o_orderkey) n, coalesce(string_agg(o_orderkey, ',' order by o_orderkey), '') orders from customer left join orders on o_custkey = c_custkey group by c_custkey",
     "semi_anti": "select c_custkey k, case when c_custkey in (select o_custkey from orders) then 'semi' else 'anti' end side from customer",
     "group_lists": f"select sk, count(*) n, string_agg(qty, ',' {_o}) l from {LINES} group by sk",
-    "group_composite": f"select flag, status, string_agg(qty, ',' {_o}) l from {LINES} where disc = 3 group by flag, status",
+    "group_composite": f"select flag, status, string_agg(qty, ',' {_o}) l from {LINES} group by flag, status",
     "group_per_row": f"select ok, qty % 3 k, string_agg(p, ',' order by p) vs from (select ok, qty, row_number() over (partition by ok {_o}) - 1 p from {LINES}) group by ok, qty % 3",
     "reduce_family": f"select ok, sum(qty)::bigint sum_, product(qty % 3 + 1)::bigint mul_, min(qty) min_, max(qty) max_, bool_and(qty > 3) all_, bool_or(qty > 48) any_ from {LINES} group by ok",
     "unique": f"select distinct flag, status, disc from {LINES}",
@@ -106,9 +104,3 @@ ORACLE = {
     "uniq_counts": f"select qty, disc, count(*) n from {LINES} group by qty, disc",
     "multi_agg": f"select pk, count(*) n, sum(qty)::bigint s, max(price) m from {LINES} group by pk",
 }
-#: Over all orders and lines.
-QUERIES |= {"intersect_dups_all": partial(intersect_dups, left="true", right="true"), "group_composite_all": partial(group_composite, kept="true")}
-ORACLE |= {
-    "intersect_dups_all": f"select a.o_custkey k, a.pos pos_a, b.pos pos_b from {ORDERS} a join {ORDERS} b on a.o_custkey = b.o_custkey",
-    "group_composite_all": ORACLE["group_composite"].replace(" where disc = 3", ""),
-}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,107 +12,103 @@ from tessera.plans.common import LINES, order_lists, table
 c = F.col
 
 
-def _few(spark, sf):
-    return order_lists(spark, sf).where("ok % 3 = 0")
-
-
-def nest_flatten(spark, sf, lists=_few):
+def nest_flatten(spark, sf):
     """Flatten lists to a column with positions, then nest by stride and by bounds again."""
-    flat = lists(spark, sf).select("ok", F.posexplode("b").alias("i", "q"))
+    flat = order_lists(spark, sf).select("ok", F.posexplode("b").alias("i", "q"))
     flat = seq.with_position(flat, c("ok"), c("i"))
     rows = flat.groupBy(F.floor(c("pos") / 4).alias("row")).agg(F.array_sort(F.collect_list(F.struct("pos", "q"))).alias("l"))
     return rows.select("row", F.array_join(F.transform("l", lambda x: x["q"]), ",").alias("l"))
 
 
-def nest_bounds(spark, sf, lists=_few):
+def nest_bounds(spark, sf):
     """Flat elements put back into their rows by bounds alone."""
-    few = lists(spark, sf)
-    flat = seq.flatten(few, "ok", "b").select("pos", "value")
-    back = seq.nest(flat, seq.list_ranges(few, "ok", "b"), row="ok")
+    rows = order_lists(spark, sf)
+    flat = seq.flatten(rows, "ok", "b").select("pos", "value")
+    back = seq.nest(flat, seq.list_ranges(rows, "ok", "b"), row="ok")
     return back.select("ok", F.array_join("list", ",").alias("l"))
 
 
-def bounds_ranges_keys(spark, sf, lists=_few):
+def bounds_ranges_keys(spark, sf):
     """Per row the (lo, hi) of its elements in the flattened column."""
-    sized = lists(spark, sf).select("ok", F.size("b").cast("bigint").alias("n"))
+    sized = order_lists(spark, sf).select("ok", F.size("b").cast("bigint").alias("n"))
     return seq.running(sized, c("n"), c("ok"), name="hi").select("ok", (c("hi") - c("n")).alias("lo"), "hi")
 
 
-def count_len(spark, sf, lists=_few):
-    return lists(spark, sf).select("ok", F.size("a").cast("bigint").alias("n"))
+def count_len(spark, sf):
+    return order_lists(spark, sf).select("ok", F.size("a").cast("bigint").alias("n"))
 
 
-def head(spark, sf, lists=_few):
-    return lists(spark, sf).select("ok", A.head(c("a")).alias("first"))
+def head(spark, sf):
+    return order_lists(spark, sf).select("ok", A.head(c("a")).alias("first"))
 
 
-def chunk(spark, sf, lists=_few):
+def chunk(spark, sf):
     """Chunks of two of the lists of even length."""
-    x = lists(spark, sf).where(F.size("b") % 2 == 0).select("ok", F.posexplode(A.chunk(c("b"), 2)).alias("i", "l"))
+    x = order_lists(spark, sf).where(F.size("b") % 2 == 0).select("ok", F.posexplode(A.chunk(c("b"), 2)).alias("i", "l"))
     return x.select("ok", c("i").cast("bigint").alias("i"), F.array_join("l", ",").alias("l"))
 
 
-def append(spark, sf, lists=_few):
-    return lists(spark, sf).select("ok", F.array_join(A.append(c("a"), c("b")), ",").alias("l"))
+def append(spark, sf):
+    return order_lists(spark, sf).select("ok", F.array_join(A.append(c("a"), c("b")), ",").alias("l"))
 
 
-def slices(spark, sf, lists=_few):
+def slices(spark, sf):
     ranges = F.array(F.struct(F.lit(0).alias("lo"), F.least(F.lit(2), F.size("b")).alias("hi")), F.struct(F.floor(F.size("b") / 2).alias("lo"), F.size("b").alias("hi")))
-    return lists(spark, sf).select("ok", F.array_join(F.transform(A.slices(ranges, c("b")), lambda x: F.array_join(x, ",")), "|").alias("l"))
+    return order_lists(spark, sf).select("ok", F.array_join(F.transform(A.slices(ranges, c("b")), lambda x: F.array_join(x, ",")), "|").alias("l"))
 
 
-def cap_list(spark, sf, lists=_few):
+def cap_list(spark, sf):
     pairs = A.cap_list(c("ok"), c("b"))
-    return lists(spark, sf).select("ok", F.aggregate(pairs, F.lit(0).cast("bigint"), lambda s, p: s + p["_0"] * p["_1"]).alias("s"))
+    return order_lists(spark, sf).select("ok", F.aggregate(pairs, F.lit(0).cast("bigint"), lambda s, p: s + p["_0"] * p["_1"]).alias("s"))
 
 
-def zip_lists(spark, sf, lists=_few):
+def zip_lists(spark, sf):
     z = A.zip_lists(c("a"), c("b"))
-    return lists(spark, sf).select("ok", F.aggregate(z, F.lit(0).cast("bigint"), lambda s, p: s + p["_0"] * p["_1"]).alias("dot"))
+    return order_lists(spark, sf).select("ok", F.aggregate(z, F.lit(0).cast("bigint"), lambda s, p: s + p["_0"] * p["_1"]).alias("dot"))
 
 
-def transpose(spark, sf, lists=_few):
+def transpose(spark, sf):
     """A list of products to a product of lists and back."""
     t = A.transpose(A.zip_lists(c("a"), c("b")), ["_0", "_1"])
     back = A.zip_lists(t["_0"], t["_1"])
-    return lists(spark, sf).select("ok", F.array_join(F.transform(back, lambda p: p["_0"] - p["_1"]), ",").alias("l"))
+    return order_lists(spark, sf).select("ok", F.array_join(F.transform(back, lambda p: p["_0"] - p["_1"]), ",").alias("l"))
 
 
-def list_arith(spark, sf, lists=_few):
+def list_arith(spark, sf):
     """Element-wise arithmetic of equal-length lists, and with a scalar."""
     s = F.zip_with("a", "b", lambda x, y: x * 2 + y)
-    return lists(spark, sf).select("ok", A.fold_add(s).alias("s"), A.fold_add(F.transform("b", lambda x: x + 10)).alias("t"))
+    return order_lists(spark, sf).select("ok", A.fold_add(s).alias("s"), A.fold_add(F.transform("b", lambda x: x + 10)).alias("t"))
 
 
-def map_nested(spark, sf, lists=_few):
+def map_nested(spark, sf):
     """A map inside a map: triangles of iota."""
-    return lists(spark, sf).select("ok", F.aggregate(F.flatten(F.transform("b", lambda x: F.transform(A.iota(x % 4), lambda y: y * x))), F.lit(0).cast("bigint"), lambda s, v: s + v).alias("s"))
+    return order_lists(spark, sf).select("ok", F.aggregate(F.flatten(F.transform("b", lambda x: F.transform(A.iota(x % 4), lambda y: y * x))), F.lit(0).cast("bigint"), lambda s, v: s + v).alias("s"))
 
 
-def flatten_ranges(spark, sf, lists=_few):
+def flatten_ranges(spark, sf):
     nested = F.transform("b", lambda x: A.iota(x % 3))
     f = A.flatten_ranges(nested)
-    return lists(spark, sf).select("ok", F.array_join(F.transform(f["ranges"], lambda r: F.concat_ws(":", r["lo"], r["hi"])), ",").alias("ranges"), F.array_join(f["flat"], ",").alias("flat"))
+    return order_lists(spark, sf).select("ok", F.array_join(F.transform(f["ranges"], lambda r: F.concat_ws(":", r["lo"], r["hi"])), ",").alias("ranges"), F.array_join(f["flat"], ",").alias("flat"))
 
 
-def list_scans(spark, sf, lists=_few):
-    return lists(spark, sf).select("ok", F.array_join(A.scan_add(c("b")), ",").alias("add_"), F.array_join(A.scan_max(c("b")), ",").alias("max_"), F.array_join(A.shift(c("b"), 1, F.lit(0).cast("bigint")), ",").alias("shifted"))
+def list_scans(spark, sf):
+    return order_lists(spark, sf).select("ok", F.array_join(A.scan_add(c("b")), ",").alias("add_"), F.array_join(A.scan_max(c("b")), ",").alias("max_"), F.array_join(A.shift(c("b"), 1, F.lit(0).cast("bigint")), ",").alias("shifted"))
 
 
-def list_find(spark, sf, lists=_few):
+def list_find(spark, sf):
     """Equal ranges of some needles in each sorted list."""
     needles = F.array(F.lit(10).cast("bigint"), F.lit(25).cast("bigint"))
     f = A.find(needles, F.array_sort("b"))
-    return lists(spark, sf).select("ok", f[0]["lo"].alias("lo10"), f[0]["hi"].alias("hi10"), f[1]["lo"].alias("lo25"), f[1]["hi"].alias("hi25"))
+    return order_lists(spark, sf).select("ok", f[0]["lo"].alias("lo10"), f[0]["hi"].alias("hi10"), f[1]["lo"].alias("lo25"), f[1]["hi"].alias("hi25"))
 
 
-def list_gather(spark, sf, lists=_few):
+def list_gather(spark, sf):
     idx = A.iota(F.size("b").cast("bigint"))
-    return lists(spark, sf).select("ok", F.array_join(A.gather(F.transform(idx, lambda i: F.size("b") - 1 - i), c("b")), ",").alias("l"))
+    return order_lists(spark, sf).select("ok", F.array_join(A.gather(F.transform(idx, lambda i: F.size("b") - 1 - i), c("b")), ",").alias("l"))
 
 
-def enlist(spark, sf, lists=_few):
-    return lists(spark, sf).select("ok", F.size(F.flatten(F.transform("b", A.enlist))).cast("bigint").alias("n"))
+def enlist(spark, sf):
+    return order_lists(spark, sf).select("ok", F.size(F.flatten(F.transform("b", A.enlist))).cast("bigint").alias("n"))
 
 
 def fold_stats(spark, sf):
@@ -144,7 +138,7 @@ def big_fold(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (nest_flatten, nest_bounds, bounds_ranges_keys, count_len, head, chunk, append, slices, cap_list, zip_lists, transpose, list_arith, map_nested, flatten_ranges, list_scans, list_find, list_gather, enlist, fold_stats, foldscan_records, big_fold)}
-_n = f"(select *, row_number() over (partition by ok order by ln, pk, sk, qty, price, disc) - 1 i, count(*) over (partition by ok) n from {LINES} where ok % 3 = 0)"
+_n = f"(select *, row_number() over (partition by ok order by ln, pk, sk, qty, price, disc) - 1 i, count(*) over (partition by ok) n from {LINES})"
 _records = "select user_id, sum(new)::bigint records, max(v) best from (select user_id, v, (b is null or v > b)::bigint new from (select user_id, v, max(v) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) b from (select *, round(value * 100)::bigint v from events))) group by user_id"
 ORACLE = {
     "nest_flatten": f"select pos // 4 \"row\", string_agg(qty, ',' order by pos) l from (select qty, row_number() over (order by ok, i) - 1 pos from {_n}) group by 1",
@@ -169,8 +163,3 @@ ORACLE = {
     "foldscan_records": _records,
     "big_fold": _records,
 }
-#: The list queries over all orders; those above stand for every third, as their SQL does.
-_of_lists = [f for f in QUERIES.values() if "lists" in f.__code__.co_varnames[: f.__code__.co_argcount]]
-QUERIES |= {f"{f.__name__}_all": partial(f, lists=order_lists) for f in _of_lists}
-_all = _n.replace(" where ok % 3 = 0", "")
-ORACLE |= {f"{f.__name__}_all": ORACLE[f.__name__].replace(_n, _all) for f in _of_lists}

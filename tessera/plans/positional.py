@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +27,8 @@ def _n_orders(spark, sf):
     return table(spark, sf, "orders").count()
 
 
-def iota_join(spark, sf, size=lambda *_: 500):
-    n = seq.iota(spark, size(spark, sf)).withColumnRenamed("pos", "n")
+def iota_join(spark, sf):
+    n = seq.iota(spark, _n_orders(spark, sf)).withColumnRenamed("pos", "n")
     return n.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), c("n") == c("o_orderkey"), "left").select("n", "o_custkey")
 
 
@@ -61,15 +59,15 @@ def list_positions(spark, sf):
     return order_lists(spark, sf).select("ok", F.explode(A.positions(F.transform("b", lambda x: x > 20))).alias("at"))
 
 
-def gather(spark, sf, size=lambda *_: 20_000):
+def gather(spark, sf):
     """Every tenth position, then the rows there."""
-    at = seq.iota(spark, -(-size(spark, sf) // 10)).select((c("pos") * 10).alias("at"))
+    at = seq.iota(spark, -(-_n_orders(spark, sf) // 10)).select((c("pos") * 10).alias("at"))
     return seq.gather(at, _orders(spark, sf)).select("at", "o_orderkey", "v")
 
 
-def gather_chain(spark, sf, size=lambda *_: 1800):
+def gather_chain(spark, sf):
     """A gather of a gather is one gather by composed positions."""
-    n = size(spark, sf)
+    n = _n_orders(spark, sf)
     first = seq.iota(spark, -(-n // 3)).select("pos", (c("pos") * 3).alias("at"))
     second = seq.iota(spark, -(-n // 6)).select((c("pos") * 2).alias("at"))
     composed = second.join(first.withColumnRenamed("at", "inner"), second["at"] == first["pos"]).select("pos", c("inner").alias("at"))
@@ -77,7 +75,8 @@ def gather_chain(spark, sf, size=lambda *_: 1800):
 
 
 def gather_oob(spark, sf):
-    at = seq.iota(spark, 100).select((c("pos") * 401).alias("at"))
+    """Positions up to a tenth beyond the end: those are marked, not failed."""
+    at = seq.iota(spark, -(-_n_orders(spark, sf) // 10)).select((c("pos") * 11).alias("at"))
     return seq.gather_try(at, _orders(spark, sf)).select("at", "found", "o_orderkey")
 
 
@@ -170,16 +169,16 @@ def find_equal_range(spark, sf):
 QUERIES = {f.__name__: f for f in (iota_join, spread, cat_union, where_positions, filter_rows, seg_filter, list_positions, gather, gather_chain, gather_oob, take_skip_reverse, seg_take_reverse, view_range, cumsum, cumsum_per_row, shift, shift_per_row, runmax, sessionize, sort_perm, sort_rank_structural, sort_lists_length_first, sort_strings_length_first, sort_segments, topk_per_group, top_n, search_lower_bound, find_equal_range)}
 _over = "partition by ok order by ln, pk, sk, qty, price, disc"
 ORACLE = {
-    "iota_join": "select n, o_custkey from range(500) r(n) left join orders on o_orderkey = n",
+    "iota_join": "select n, o_custkey from (select unnest(range((select count(*) from orders))) n) left join orders on o_orderkey = n",
     "spread": "select s, count(*) \"rows\", sum(copy)::bigint copies from (select p_size s, unnest(range(0, p_size % 4)) copy from part) group by s",
     "cat_union": "select row_number() over (order by src, k) - 1 pos, k from (select 0 src, c_custkey k from customer union all select 1, s_suppkey from supplier)",
     "where_positions": f"select pos from {ORDERS} where v % 7 = 0",
     "filter_rows": f"select flag, count(*) n, sum(price)::bigint price from {LINES} where qty >= 30 and disc < 5 group by flag",
     "seg_filter": f"select ok, count(*) filter (qty > 20) n, coalesce(sum(qty) filter (qty > 20), 0)::bigint total from {LINES} group by ok",
     "list_positions": f"select ok, rn \"at\" from (select ok, qty, row_number() over ({_over}) - 1 rn from {LINES}) where qty > 20",
-    "gather": f"select pos \"at\", o_orderkey, v from {ORDERS} where pos % 10 = 0 and pos < 20000",
-    "gather_chain": f"select pos \"at\", o_orderkey from {ORDERS} where pos % 6 = 0 and pos < 1800",
-    "gather_oob": f"select n * 401 \"at\", o_orderkey is not null found, o_orderkey from range(100) r(n) left join {ORDERS} on pos = n * 401",
+    "gather": f"select pos \"at\", o_orderkey, v from {ORDERS} where pos % 10 = 0",
+    "gather_chain": f"select pos \"at\", o_orderkey from {ORDERS} where pos % 6 = 0",
+    "gather_oob": f"select n * 11 \"at\", o_orderkey is not null found, o_orderkey from (select unnest(range((select (count(*) + 9) // 10 from orders))) n) left join {ORDERS} on pos = n * 11",
     "take_skip_reverse": f"select rp - 5 pos, o_orderkey from (select *, (select count(*) from orders) - 1 - pos rp from {ORDERS}) where rp between 5 and 44",
     "seg_take_reverse": f"select ok, rn \"at\", pk from (select ok, pk, row_number() over (partition by ok order by ln desc, pk desc, sk desc, qty desc, price desc, disc desc) - 1 rn from {LINES}) where rn < 2",
     "view_range": f"select pos, o_orderkey from {ORDERS} where pos >= 100 and pos < 250",
@@ -199,10 +198,3 @@ ORACLE = {
     "search_lower_bound": f"with t as (select pk k, count(*) n from {LINES} group by pk), q as (select distinct p_size::bigint * 37 k from part), r as (select q.k, coalesce(sum(n), 0)::bigint \"at\" from q left join t on t.k < q.k group by q.k) select p_partkey, \"at\" from part join r on r.k = p_size::bigint * 37",
     "find_equal_range": f"with t as (select pk k, count(*) n from {LINES} group by pk), s as (select k, sum(n) over (order by k)::bigint hi, n from t) select p_partkey k, coalesce(hi - n, (select coalesce(sum(n), 0) from t where t.k < p_partkey))::bigint lo, coalesce(hi, (select coalesce(sum(n), 0) from t where t.k < p_partkey))::bigint hi from part left join s on s.k = p_partkey",
 }
-#: Asked for as many positions as there are orders.
-QUERIES |= {f"{f.__name__}_all": partial(f, size=_n_orders) for f in (iota_join, gather, gather_chain)}
-ORACLE |= {
-    "iota_join_all": "select n, o_custkey from (select unnest(range((select count(*) from orders))) n) left join orders on o_orderkey = n",
-    "gather_all": ORACLE["gather"].replace(" and pos < 20000", ""),
-    "gather_chain_all": ORACLE["gather_chain"].replace(" and pos < 1800", ""),
-}

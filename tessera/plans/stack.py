@@ -90,9 +90,10 @@ class Machine:
 
     # ------------------------------------------------------------ reading
 
-    def run(self, source: str) -> list[DataFrame]:
+    def run(self, source: str, table: DataFrame | None = None) -> list[DataFrame]:
         tokens = [m[1] for m in TOKEN.finditer(source) if m[1]]
-        self.block(tokens, {})
+        columns = [] if table is None else [c for c in table.columns if c != "pos"]
+        self.block(tokens, dict(zip(columns, fresh(table, *columns), strict=True)) if columns else {})
         return [c.rows() for c in self.stack]
 
     @staticmethod
@@ -555,6 +556,9 @@ WORDS = {
 }
 
 
-def run(spark: SparkSession, source: str) -> list[DataFrame]:
-    """The columns a program leaves, deepest first, each as (pos, v)."""
-    return Machine(spark).run(source)
+def run(spark: SparkSession, source: str, table: DataFrame | None = None) -> list[DataFrame]:
+    """The columns a program leaves, deepest first, each as (pos, v).
+
+    The columns of ``table``, numbered by its ``pos`` from 0, are names in the program.
+    """
+    return Machine(spark).run(source, table)
