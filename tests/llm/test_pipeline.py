@@ -1,4 +1,5 @@
-"""The pipeline's stages, each against brute force on its own input."""
+"""The pipeline's stages on what the stage before kept: near duplicates and decontamination against brute
+force, toxicity against its operator's predictions, masking and packing by their invariants."""
 
 import corpus_pipeline as C
 from tessera.llm import toxicity as X
