@@ -3,6 +3,10 @@
 Toxic documents go, one document of each near-duplicate group stays, documents with benchmark windows
 go, live secrets are masked, and what is left is packed into bins. Each stage works on all rows that
 the one before kept, and all but the last return the columns of ``documents``.
+
+Defined results: a null text counts as empty, is never toxic, near a copy or contaminated, and is packed
+into no bin. Rows without an id stay in every filtering stage. Repeated rows of an id and text are one row
+after the second stage. Extra columns are kept up to packing, whatever their names. Empty tables give none.
 """
 
 from __future__ import annotations
