@@ -43,7 +43,7 @@ BUCKET_TOKENS = 1_000_000
 #: Sets in one group whose counts a task adds up.
 GROUP_SETS = 50_000
 #: Entries held by a task before it deals them out.
-FLUSH_TOKENS = 1_500_000
+FLUSH_TOKENS = 750_000
 #: A task counts a shingle that this many of the sets it holds have, instead of dealing each.
 LOCAL = 4
 #: A shingle of more sets than this, and than this share of all entries, is hot.
@@ -134,10 +134,10 @@ class Dealer:
         fp, tokens, counts = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.size = [], 0
         self.sets.clear()
-        owner = np.repeat(np.arange(len(fp)), counts)
+        owner = np.repeat(np.arange(len(fp), dtype=np.int32), counts)
         known = np.zeros(0, np.dtype([("fp", "i8"), ("n", "i4")]))
         if self.local:  # the sets held are distinct, and so are the tokens of each
-            order = np.argsort(tokens)
+            order = np.argsort(tokens).astype(np.int32)
             at = _runs(tokens[order])
             often = np.flatnonzero(np.diff(at) >= self.local)
             hot = np.zeros(len(tokens), bool)
@@ -147,7 +147,9 @@ class Dealer:
             known["fp"], known["n"] = fp[n > 0], n[n > 0]
             seen = tokens[order[at[often]]]
             fp = np.append(fp, WITNESS)
-            tokens, owner = np.concatenate([tokens[~hot], seen]), np.concatenate([owner[~hot], np.full(len(seen), len(fp) - 1)])
+            tokens = np.concatenate([tokens[~hot], seen])
+            owner = np.concatenate([owner[~hot], np.full(len(seen), len(fp) - 1, np.int32)])
+            del order, at, hot, seen
         bucket = _bucket(tokens, self.buckets)
         order = np.argsort(bucket.astype(np.uint16 if self.buckets <= 1 << 16 else np.int32), kind="stable")
         bucket, owner, tokens = bucket[order], owner[order], tokens[order]
@@ -236,6 +238,7 @@ def _count_shared(groups: int):
     """
 
     def run(table: pa.Table) -> pa.Table:
+        K.release()
         who, n = np.unique(_shared_entries(table)[0], return_counts=True)
         known = np.frombuffer(b"".join(table["known"].to_pylist()), np.dtype([("fp", "i8"), ("n", "i4")]))
         fp, n = np.concatenate([who, known["fp"]]), np.concatenate([n, known["n"]]).astype(np.int64)
@@ -286,6 +289,8 @@ def _held_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
             held, size = [], 0
     if held:
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        held = []
+    K.release()
 
 
 def _count_often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,6 +394,7 @@ def _frequencies(groups: int):
     """A bucket's shared tokens, named, and their frequencies, packed by group of sets."""
 
     def run(table: pa.Table) -> pa.Table:
+        K.release()
         bucket = table["bucket"][0].as_py() if table.num_rows else 0
         fp, token, df = _shared_entries(table)
         name = token ^ np.full(1, bucket, np.uint64) * K.U64(0x9E3779B97F4A7C15)
@@ -408,6 +414,7 @@ SETS = "fp bigint, n bigint, central double, tokens binary, prefix binary"
 def _assemble(at_least: int, per: int):
     """The sets of a group that share enough: all their shared tokens, and the prefix, rarest first."""
     def run(table: pa.Table) -> pa.Table:
+        K.release()
         of = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
         sets, where = np.unique(of("sets", np.int64), return_inverse=True)
         n = np.bincount(where, of("counts", np.int32), len(sets)).astype(np.int64)
@@ -537,6 +544,7 @@ def _list_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _stars(nth: int, at_least: int, per: int):
     """In each list, the pair of every entry with the list's nth most central set, if of another class."""
     def run(table: pa.Table) -> pa.Table:
+        K.release()
         e, at = _list_entries(table)
         size = np.diff(at)
         pivot = np.repeat(at[:-1] + np.minimum(nth, size - 1), size)
@@ -555,6 +563,7 @@ def _stars(nth: int, at_least: int, per: int):
 def _rest(at_least: int, per: int):
     """All pairs of different classes left in a bucket's lists, skipping pairs of blocks by position."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         e, _ = _list_entries(pa.Table.from_batches(list(batches)))
         e = e[np.lexsort((e["label"], e["pos"], e["n"], e["token"]))]
         cut = np.ones(len(e), bool)

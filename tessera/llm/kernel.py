@@ -7,15 +7,31 @@ pair is expected to collide, which moves one intersection by one.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+try:  # glibc alone gives freed pages back on demand
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _trim = None
+
 U64 = np.uint64
 #: Bytes of text handled at once (a longer single text is still handled whole).
 CHUNK_BYTES = 1 << 20
 
+
+def release() -> None:
+    """Give freed memory back to the system: a worker that is kept for later tasks would hold its peak."""
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 _BYTES = np.arange(256)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 #: digits, letters and everything beyond ASCII
@@ -94,6 +110,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             begin = end
     if held:
         yield out()
+        held = []
+    release()
 
 
 def word_bounds(buf: np.ndarray, off: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join
+from tessera.llm import kernel as K
 from tessera.llm.common import read, written
 
 CAPACITY = 2048
@@ -124,6 +125,7 @@ def _pack(capacity: int):
     def run(table: pa.Table) -> pa.Table:
         if not table.num_rows:
             return table.select([]).slice(0, 0)
+        K.release()
         shard = table["shard"][0].as_py()
         cols = [table[c].to_pylist() for c in ("doc_id", "n_tokens", "source", "cluster")]
         packed = pack_shard(*cols, capacity)

@@ -65,7 +65,7 @@ def _signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of either class with each key, summed over the partition."""
     held: list[np.ndarray] = []
-    limit = 1_500_000
+    limit = 600_000
 
     def summed():
         both = np.concatenate(held) if held else np.zeros((0, 4), np.int64)
