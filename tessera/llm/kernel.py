@@ -132,9 +132,18 @@ def word_bounds(buf: np.ndarray, off: np.ndarray, word: np.ndarray) -> tuple[np.
 
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the lower-cased bytes of each span."""
-    if not len(starts):
-        return np.zeros(0, U64)
+    """Hash of the lower-cased bytes of each span (in order of their starts), a piece of the buffer at a time."""
+    out = np.zeros(len(starts), U64)
+    k = 0
+    while k < len(starts):
+        m = max(k + 1, int(np.searchsorted(starts, starts[k] + CHUNK_BYTES)))
+        first, last = starts[k], ends[k:m].max()
+        out[k:m] = _hash_piece(buf[first:last], starts[k:m] - first, ends[k:m] - first)
+        k = m
+    return out
+
+
+def _hash_piece(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     power, inverse = _power_tables(len(buf) + 1)
     total = np.zeros(len(buf) + 1, U64)
     values = _BYTE_VALUE[buf]
