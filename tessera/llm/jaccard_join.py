@@ -632,18 +632,26 @@ def verified(pairs: DataFrame, sets: DataFrame, at_least: int, per: int) -> Data
     return got.select("a", "b", (1 - F.col("common") / union).alias("dist"), (F.col("common") * per >= union * at_least).alias("link"))
 
 
+def few_files(df: DataFrame, entries: int) -> DataFrame:
+    """``df`` in no more tasks than this many entries need, but one for each core: each task writes a file."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-entries // BUCKET_TOKENS)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Each node of the edges (a, b) with the smallest node it can reach: (node, label).
 
     Labels spread to neighbours and are then followed once (pointer jumping), until nothing changes.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    size = both.count()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    labels = written(few_files(labels, size))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        moved = written(step.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
+        moved = step.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label"))
+        moved = written(few_files(moved, size))
         labels = moved.select("node", "label")
         if moved.where("old <> label").isEmpty():
             return labels
@@ -682,10 +690,10 @@ def jaccard_join(
     shared = shared.groupBy("grp").applyInArrow(_add_shared, "fp bigint, shared bigint")
     missing = F.col("half") - F.coalesce("shared", F.lit(0))
     left = distinct.join(shared, "fp", "left").where(missing <= F.col("n") - F.ceil(F.col("n") * at_least / per))
-    left = written(left.select("fp", "n"))
+    left = written(few_files(left.select("fp", "n"), total))
     bits = spark.sparkContext.broadcast(id_filter(left.select("fp")).tobytes())
     sets = docs.mapInArrow(_read_sets("text", width, bits), "fp bigint, tokens binary")
-    sets = written(sets.groupBy("fp").agg(F.first("tokens").alias("tokens")).join(left, "fp"))
+    sets = written(few_files(sets.groupBy("fp").agg(F.first("tokens").alias("tokens")).join(left, "fp"), total))
     # 2. index
     tokens = sets.agg(F.sum("n")).first()[0] or 0
     buckets = min(MAX_BUCKETS, max(least, -(-tokens // BUCKET_TOKENS)))
@@ -694,7 +702,7 @@ def jaccard_join(
     packed = sets.mapInArrow(_deal_sets(buckets, hot), Dealer.SCHEMA).groupBy("bucket").applyInArrow(_frequencies(buckets), PACKED)
     if len(token):
         packed = packed.union(sets.mapInArrow(_hot_entries(buckets, hot), PACKED))
-    sets = written(packed.groupBy("grp").applyInArrow(_assemble(at_least, per), SETS))
+    sets = written(few_files(packed.groupBy("grp").applyInArrow(_assemble(at_least, per), SETS), tokens))
     name = _named(token, buckets)
     order = np.argsort(name)
     hot = spark.sparkContext.broadcast((name[order], -(-df[order] // HOT_SETS) + 1))
@@ -707,13 +715,14 @@ def jaccard_join(
         star = lists.applyInArrow(_stars(nth, at_least, per), "a bigint, b bigint, lists bigint")
         star = star.groupBy("a", "b").agg(F.sum("lists").alias("lists"))
         star = star.groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
-        checked = written(verified(star, sets, at_least, per).where("link"))
+        checked = written(few_files(verified(star, sets, at_least, per).where("link"), tokens))
         links = checked if links is None else links.union(checked)
         reached = components(links)
         near = links.groupBy(F.col("a").alias("fp")).agg(F.min_by(F.struct("b", "dist"), F.struct("dist", "b")).alias("x"))
         classes = sets.select("fp").join(reached.withColumnRenamed("node", "fp"), "fp", "left").join(near, "fp", "left")
         label, pivot = F.coalesce("label", "fp").alias("label"), F.coalesce("x.b", "fp").alias("pivot")
-        classes = written(classes.select("fp", label, pivot, F.coalesce("x.dist", F.lit(0.0)).alias("near")))
+        classes = classes.select("fp", label, pivot, F.coalesce("x.dist", F.lit(0.0)).alias("near"))
+        classes = written(few_files(classes, tokens))
     # 4. the rest
     prefixes = sets.join(classes, "fp")
     mixed = np.zeros(len(token), bool)
@@ -744,7 +753,7 @@ def jaccard_join(
         links = written(links.union(between.where("link")).union(derived).union(checked))
         reached = components(links)
         classes = sets.select("fp").join(reached.withColumnRenamed("node", "fp"), "fp", "left")
-        classes = written(classes.select("fp", F.coalesce("label", "fp").alias("label")))
+        classes = written(few_files(classes.select("fp", F.coalesce("label", "fp").alias("label")), tokens))
     documents = sized.select("doc_id", F.col("n").alias("n_shingles"), "fp", "n_words", *(carry or {}))
     return documents, classes.select("fp", F.col("label").alias("component")), links.select("a", "b")
 
