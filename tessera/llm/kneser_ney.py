@@ -1,27 +1,32 @@
-"""Interpolated modified Kneser-Ney language model, counted in Spark and memory-mapped by workers.
+"""Interpolated modified Kneser-Ney language model of order 3, counted in Spark and memory-mapped by workers.
 
-Counting: tasks turn the training texts into (context word, word) pairs, sum them locally and deal them
-to buckets by context; pairs of very frequent contexts (``HOT_SHARE``, so at most a known number) are
-dealt by the pair instead, so no bucket holds all followers of a frequent word. A bucket sums its pairs,
-writes them as arrays sorted by hash, with its contexts' totals, and deals the words on: their counts and
-numbers of distinct contexts (continuation counts) make the lower level, written the same way.
+Counting takes two shuffles. Tasks turn the training texts into (u, v, w) runs of three tokens, sum them
+locally and deal them to buckets by the middle word v: a bucket then holds whole counts of its runs, the
+whole contexts (u, v), the numbers of distinct u before (v, w), and v as a context. Words and ends that
+have more than a share of all tokens as v (``hot``) are dealt by (u, v), and pairs (u, v) beyond that share
+by the whole run; what is split so is summed afterwards, by w or by Spark. The second shuffle deals the
+distinct (v, w) on to the buckets of w, for the lowest level. A text's first token has only START before
+it; (START, w) counts its occurrences.
 
-The model is a folder of .npy files below the shared folder: two sorted hash arrays per bucket and
-level, with counts. It grows with the corpus and is never sent or loaded whole: workers map the files
-and look sorted batches up. Discounts come from the counts of counts of each level.
+The model is a folder of files below the shared folder, two for each bucket: tables of sorted 48-bit hashes
+with counts. Contexts seen once are not stored: the level below knows that they were seen. The folder grows
+with the corpus and is never sent or loaded whole: workers map the files and look sorted batches up.
+Discounts come from the counts of counts of each level.
 
 Defined results: null or wordless text is one end token. Words are told apart by 48 bits of their hash
-(about one in 10^7 of 10^8 words meets another). Repeated rows count and are scored each; a null id
-hashes as the empty text. With no training row, the model is uniform.
+(about one in 10^7 of 10^8 words meets another), runs while counting by 64 bits and in a bucket's table by
+48 (a run never seen is taken for one of a million in its table once in 10^8 look-ups). Repeated rows count
+and are scored each; a null id hashes as the empty text; other columns, whatever their names, are not read;
+a very long text is one chunk of its own. With no training row, the model is uniform.
 """
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +35,16 @@ from tessera.llm.common import fold_bucket, read, shared_folder
 from tessera.llm.shared_io import local_path, open_file, write_file
 
 BITS48 = K.U64((1 << 48) - 1)
-#: The end of a text, and what stands before its first word.
-END, START = K.U64(0x0E0D0E0D0E0D), K.U64(0x571A27571A27)
+#: The end of a text, what stands before its first word, and before that.
+END, START, NONE = K.U64(0x0E0D0E0D0E0D), K.U64(0x571A27571A27), K.U64(0x4E07E4E07E4E)
 #: Tokens that a task sums before dealing them out, and tokens of a bucket.
-FLUSH_TOKENS, BUCKET_TOKENS = 1_000_000, 1_000_000
-#: Contexts with this share of a task's tokens are dealt by pair.
-HOT_SHARE = 1 / 1000
-#: Bytes of text that the share is taken of.
-FREQUENT_BYTES = 8 << 20
+FLUSH_TOKENS, BUCKET_TOKENS = 1_500_000, 1_000_000
+#: Words with a fourth of a bucket's share of all tokens are split, down to this share.
+LEAST_SHARE = 1 / 50_000
+#: Bytes of text that frequent words are counted in at once, and the share of its tokens that counts.
+FREQUENT_BYTES, FREQUENT_SHARE = 8 << 20, 1 / 125_000
+#: The most frequent words are dealt as two bytes; the last code says that the hash itself follows.
+CODES = (1 << 16) - 1
 FOLDS, HELD = 7, 2
 
 
@@ -51,11 +58,14 @@ def tokens_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, at
 
 
-def contexts_of(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[at[:-1]] = START
-    return before
+def before(tokens: np.ndarray, at: np.ndarray, start, none) -> tuple[np.ndarray, np.ndarray]:
+    """The two tokens before each: (none, start) before a text's first, (start, first) before its second."""
+    v, u = np.empty_like(tokens), np.empty_like(tokens)
+    v[1:] = tokens[:-1]
+    v[at[:-1]] = start
+    u[1:] = v[:-1]
+    u[at[:-1]] = none
+    return u, v
 
 
 def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -66,149 +76,379 @@ def bucket_of(value: np.ndarray, buckets: int) -> np.ndarray:
     return ((K.mix(value ^ K.U64(0x2545F4914F6CDD1D)) >> K.U64(32)) * K.U64(buckets) >> K.U64(32)).astype(np.int64)
 
 
-def pair_bucket(context: np.ndarray, key: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    out = bucket_of(context, buckets)
-    if len(hot):
-        slot = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-        often = hot[slot] == context
-        out[often] = bucket_of(key[often], buckets)
-    return out
+def slots(names: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are among the sorted names, and where."""
+    if not len(names):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(names, values), len(names) - 1)
+    return names[at] == values, at
+
+
+class Hot:
+    """What is dealt in parts (sorted words and keys of pairs), and the words that have a code."""
+
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, coded: np.ndarray):
+        self.words, self.pairs, self.coded = words, pairs, coded  # coded: by falling frequency
+        self.order = np.argsort(coded)
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        found, at = slots(self.coded[self.order], words)
+        out = np.full(len(words), CODES, np.uint16)
+        out[found] = self.order[at[found]]
+        return out
+
+    def context_bucket(self, v: np.ndarray, pair: np.ndarray, buckets: int) -> np.ndarray:
+        """Where a context (u, v) is kept, unless it is itself hot."""
+        out = bucket_of(v, buckets)
+        often = slots(self.words, v)[0]
+        out[often] = bucket_of(pair[often], buckets)
+        return out
+
+    def run_bucket(self, v: np.ndarray, pair: np.ndarray, run: np.ndarray, buckets: int) -> np.ndarray:
+        out = self.context_bucket(v, pair, buckets)
+        often = slots(self.words, v)[0] & slots(self.pairs, pair)[0]
+        out[often] = bucket_of(run[often], buckets)
+        return out
 
 
 def _summed(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Rows sorted by key, those of one key added up (first column's first value is kept if it is an id)."""
+    """Distinct keys in order, a row that has each, and the columns added up by key."""
     order = np.argsort(key)
     key = key[order]
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     return key[at], order[at], *(np.add.reduceat(c[order], at) if len(at) else c for c in columns)
 
 
+def _groups(ordered: np.ndarray) -> Iterator[tuple[int, int]]:
+    """From where to where each value stands."""
+    if len(ordered):
+        begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        yield from zip(begin.tolist(), [*begin[1:].tolist(), len(ordered)], strict=True)
+
+
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The contexts with at least HOT_SHARE of a chunk's tokens."""
-    held: dict[int, int] = {}
-    for table, buf, off in K.chunks(batches, "text", FREQUENT_BYTES):
+    """Words (kind 0) and pairs (1) that a chunk's tokens often have as context, and the number of tokens (2)."""
+    words, pairs, total = [], [], 0
+    for _, buf, off in K.chunks(batches, "text", FREQUENT_BYTES):
         tokens, at = tokens_of(buf, off)
-        value, count = np.unique(contexts_of(tokens, at), return_counts=True)
-        often = count >= max(HOT_SHARE * len(tokens), 2)
-        for v, c in zip(value[often].tolist(), count[often].tolist(), strict=True):
-            held[v] = held.get(v, 0) + c
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        u, v = before(tokens, at, START, NONE)
+        total += len(tokens)
+        least = max(FREQUENT_SHARE * len(tokens), 2)
+        name, count = np.unique(v, return_counts=True)
+        name, count = name[count >= least], count[count >= least]
+        words.append((name, count))
+        often = slots(name[count >= LEAST_SHARE * len(tokens)], v)[0]
+        name, count = np.unique(pair_key(u[often], v[often]), return_counts=True)
+        keep = count >= max(LEAST_SHARE * len(tokens), 2)
+        pairs.append((name[keep], count[keep]))
+    for kind, held in ((0, words), (1, pairs)):
+        if held:
+            name, _, count = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(name), kind, np.int32)), pa.array(name.view(np.int64)), pa.array(count)], names=["kind", "name", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], names=["kind", "name", "n"])
+
+
+def _bytes(ids: np.ndarray) -> np.ndarray:
+    """48-bit ids as six bytes each."""
+    return np.ascontiguousarray(ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def _pack(*streams: np.ndarray) -> bytes:
+    """Arrays of numbers, compressed; two-byte ones with their low bytes first."""
+    parts = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, s.itemsize).T if s.ndim == 1 else s).tobytes() for s in streams]
+    head = np.array([len(parts), *map(len, parts)], np.uint32).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *parts]))
+
+
+def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """The arrays again; kind 'id' for six bytes an id."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    sizes = np.frombuffer(raw, np.uint32, len(kinds) + 1)[1:]
+    at, out = 4 * (len(kinds) + 1), []
+    for size, kind in zip(sizes.tolist(), kinds, strict=True):
+        part = np.frombuffer(raw, np.uint8, size, at)
+        if kind == "id":
+            wide = np.zeros((size // 6, 8), np.uint8)
+            wide[:, :6] = part.reshape(-1, 6)
+            out.append(wide.view("<u8").ravel())
+        else:
+            width = np.dtype(kind).itemsize
+            out.append(np.ascontiguousarray(part.reshape(width, -1).T).view(kind).ravel())
+        at += size
+    return out
+
+
+def _short(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as a byte each; those from 255 on follow by themselves."""
+    return np.minimum(count, 255).astype(np.uint8), count[count >= 255].astype(np.uint64)
+
+
+def _long(short: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    out = short.astype(np.int64)
+    out[short == 255] = rest
+    return out
+
+
+#: Of u, v, w: codes, hashes of those without. Lengths of the runs of v and of (u, v); counts.
+RUN_KINDS = ("u2", "id", "u2", "id", "u2", "id", "u1", "u8", "u1", "u8", "u1", "u8")
+
+
+def _pack_runs(u, v, w, count, names, codes) -> bytes:
+    """Summed runs in order of (v, u), as ids into names."""
+    new_v = np.concatenate([[True], v[1:] != v[:-1]])
+    new_u = new_v | np.concatenate([[True], u[1:] != u[:-1]])
+    at_u, at_v = np.flatnonzero(new_u), np.flatnonzero(new_v)
+    per_v = np.diff(np.append(np.flatnonzero(new_v[at_u]), len(at_u)))
+    per_u = np.diff(np.append(at_u, len(u)))
+    out = []
+    for ids in (u[at_u], v[at_v], w):
+        code = codes[ids]
+        out += [code, _bytes(names[ids[code == CODES]])]
+    return _pack(*out, *_short(per_v), *_short(per_u), *_short(count))
+
+
+def _unpack_runs(data: bytes, coded: np.ndarray) -> tuple[np.ndarray, ...]:
+    got = _unpack(data, *RUN_KINDS)
+    words = []
+    for code, rest in zip(got[:6:2], got[1:6:2], strict=True):
+        word = np.empty(len(code), K.U64)
+        known = code != CODES
+        word[known] = coded[code[known]]
+        word[~known] = rest
+        words.append(word)
+    per_v, per_u, count = (_long(*got[k : k + 2]) for k in (6, 8, 10))
+    u, v, w = words
+    return np.repeat(u, per_u), np.repeat(np.repeat(v, per_v), per_u), w, count
 
 
-PAIRS = "bucket int, context binary, lengths binary, low binary, high binary, counts binary"
+RUNS = "bucket int, data binary"
 
 
-def _deal_pairs(hot, buckets: int):
+def _deal_runs(sent, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: Hot = sent.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush():
-            context, word = (np.concatenate(x) for x in zip(*held, strict=True))
+            tokens = np.concatenate([t for t, _ in held])
+            at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in held]))])
             held.clear()
-            key, first, count = _summed(pair_key(context, word), np.ones(len(word), np.int32))
-            context, word = context[first], word[first]
-            bucket = pair_bucket(context, key, hot.value, buckets).astype(np.int32)
-            del key, first
-            order = np.lexsort((context, bucket))
-            context, word, count, bucket = context[order], word[order], count[order], bucket[order]
-            del order
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows: list[list] = [[] for _ in range(6)]
-            for k in range(buckets):
-                b, e = edges[k], edges[k + 1]
-                if b == e:
-                    continue
-                c, w = context[b:e], word[b:e]
-                at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                parts = (c[at].tobytes(), np.diff(np.append(at, e - b)).astype(np.uint32).tobytes(), (w & K.U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (w >> K.U64(32)).astype(np.uint16).tobytes(), count[b:e].astype(np.uint32).tobytes())
-                for col, v in zip(rows, (k, *parts), strict=True):
-                    col.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "context", "lengths", "low", "high", "counts"])
+            names, w = np.unique(tokens, return_inverse=True)
+            codes = hot.codes(names)
+            order = np.argsort(codes, kind="stable")  # frequent words have small ids
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            names, codes = np.append(names[order], [START, NONE]), np.append(codes[order], hot.codes(np.array([START, NONE])))
+            w = place[w]
+            u, v = before(w, at, len(names) - 2, len(names) - 1)
+            del tokens, place
+            bits = len(names).bit_length()
+            if 3 * bits <= 63:
+                packed, count = np.unique(v << 2 * bits | u << bits | w, return_counts=True)
+                u, v, w = packed >> bits & (1 << bits) - 1, packed >> 2 * bits, packed & (1 << bits) - 1
+                del packed
+            else:
+                order = np.lexsort((w, u, v))
+                u, v, w = u[order], v[order], w[order]
+                new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+                count = np.diff(np.append(new, len(u)))
+                u, v, w = u[new], v[new], w[new]
+            pair = pair_key(names[u], names[v])
+            bucket = hot.run_bucket(names[v], pair, pair_key(pair, names[w]), buckets)
+            del pair
+            order = np.argsort(bucket, kind="stable")
+            u, v, w, count, bucket = (x[order] for x in (u, v, w, count, bucket))
+            parts = list(_groups(bucket))
+            data = [_pack_runs(u[b:e], v[b:e], w[b:e], count[b:e], names, codes) for b, e in parts]
+            return pa.RecordBatch.from_arrays([pa.array([bucket[b] for b, _ in parts], pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
 
         for _, buf, off in K.chunks(batches, "text"):
-            tokens, at = tokens_of(buf, off)
-            held.append((contexts_of(tokens, at), tokens))
-            size += len(tokens)
+            held.append(tokens_of(buf, off))
+            size += len(held[-1][0])
             if size >= FLUSH_TOKENS:
                 yield flush()
                 size = 0
         if held:
             yield flush()
+        K.release()
 
     return run
 
 
-def _save(path: str, array: np.ndarray, attempt: str) -> None:
-    out = io.BytesIO()
-    np.save(out, array)
-    write_file(path, out.getvalue(), attempt)
+class Table:
+    """Sorted 48-bit keys, each with some counts: a byte a count, and whole the rows with one beyond a byte."""
+
+    def __init__(self, high, low, small, big):
+        self.high, self.low, self.small, self.big = high, low, small, big
+
+    @staticmethod
+    def parts(key: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+        values = np.stack([np.asarray(c, np.int64) for c in columns])
+        large = np.flatnonzero((values >= 255).any(0))
+        return [
+            (key >> K.U64(16)).astype(np.uint32),
+            (key & K.U64(0xFFFF)).astype(np.uint16),
+            np.minimum(values, 255).astype(np.uint8),
+            np.concatenate([large[None], values[:, large]]).astype(np.int64),
+        ]
+
+    def get(self, key: np.ndarray) -> np.ndarray:
+        """The counts of each (sorted) key, a row per count; zeros where it isn't there."""
+        high, low = (key >> K.U64(16)).astype(np.uint32), (key & K.U64(0xFFFF)).astype(np.uint16)
+        slot = np.searchsorted(self.high, high)
+        place = np.full(len(key), -1)
+        todo = np.arange(len(key))
+        while len(todo):  # keys alike in their high part are few
+            todo = todo[slot[todo] < len(self.high)]
+            todo = todo[self.high[slot[todo]] == high[todo]]
+            hit = self.low[slot[todo]] == low[todo]
+            place[todo[hit]] = slot[todo[hit]]
+            todo = todo[~hit]
+            slot[todo] += 1
+        out = np.zeros((len(self.small), len(key)), np.int64)
+        found = np.flatnonzero(place >= 0)
+        out[:, found] = self.small[:, place[found]]
+        large = found[(out[:, found] == 255).any(0)]
+        if len(large):
+            out[:, large] = self.big[1:, np.searchsorted(self.big[0], place[large])]
+        return out
 
 
-def _attempt() -> str:
+def save_tables(path: str, tables: list[list[np.ndarray]]) -> None:
+    """One file: the sizes of every table, then its parts, each from a multiple of eight bytes on."""
     from pyspark import TaskContext
 
-    return str(TaskContext.get().taskAttemptId())
+    head = np.array([(len(p[0]), len(p[2]), p[3].shape[1]) for p in tables], np.int64)
+    pieces = [head.tobytes()]
+    for table in tables:
+        for part in table:
+            raw = part.tobytes()
+            pieces += [raw, bytes(-len(raw) % 8)]
+    write_file(path, b"".join(pieces), str(TaskContext.get().taskAttemptId()))
+
+
+def open_tables(path: str, n: int) -> list[Table]:
+    """The tables of a file, mapped where it is mounted; empty ones where there is none."""
+    try:
+        here = local_path(path)
+        raw = np.memmap(here, np.uint8, "r") if here else np.frombuffer(open_file(path).getbuffer(), np.uint8)
+    except FileNotFoundError:
+        return []
+    at, out = 24 * n, []
+    for rows, columns, large in raw[:at].view(np.int64).reshape(n, 3).tolist():
+        parts = []
+        for kind, shape in ((np.uint32, (rows,)), (np.uint16, (rows,)), (np.uint8, (columns, rows)), (np.int64, (columns + 1, large))):
+            size = int(np.prod(shape)) * np.dtype(kind).itemsize
+            parts.append(raw[at : at + size].view(kind).reshape(shape))
+            at += size + -size % 8
+        out.append(Table(*parts))
+    return out
 
 
 def _counts_of_counts(count: np.ndarray) -> list[int]:
     return [int((count == k).sum()) for k in (1, 2, 3, 4)]
 
 
-#: kind 0: words dealt on (bucket); 1: counts of counts of pairs; 2: parts of hot contexts.
-LOWER = "kind int, bucket int, word binary, cont binary, raw binary"
+def _by_context(context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts with their numbers of words counted 1, 2 and more, and their total beyond 1, 2 and 3 of those."""
+    name, _, n1, n2, n3, total = _summed(context, *((x).astype(np.int64) for x in (count == 1, count == 2, count > 2)), count)
+    return name, np.stack([n1, n2, n3, total - n1 - 2 * n2 - 3 * n3])
+
+
+#: Statistics that Spark sums: counts of counts of runs, pairs and words; hot words and hot pairs as contexts.
+RUN_COUNTS, PAIR_COUNTS, WORD_COUNTS, HOT_WORD, HOT_PAIR = range(1, 6)
+NUMBERS = 8
+
+
+def _stat(kind: int, numbers, name: int = 0) -> np.ndarray:
+    return np.array([kind, name, *numbers, *[0] * (NUMBERS - len(numbers))], np.int64)
+
+
+def _hot_stats(kind: int, name: np.ndarray, stats: np.ndarray) -> list[np.ndarray]:
+    return [_stat(kind, s, n) for n, s in zip(name.view(np.int64).tolist(), stats.T.tolist(), strict=True)]
+
+
+#: kind 0: words dealt on; 1: pairs of hot words dealt on; 2: statistics.
+LOWER = "kind int, bucket int, data binary"
+WORD_KINDS, PAIR_KINDS = ("id", "u1", "u8", "u1", "u8"), ("id", "id", "u1", "u8", "u1", "u8")
 
 
-def _write_pairs(folder: str, hot, buckets: int):
+def _lower_rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.binary())
+    return pa.table([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["kind", "bucket", "data"])
+
+
+def _dealt(kind: int, to: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+    """A row for each bucket that gets something."""
+    order = np.argsort(to, kind="stable")
+    to, ids, counts = to[order], [x[order] for x in ids], [x[order] for x in counts]
+    for b, e in _groups(to):
+        yield kind, int(to[b]), _pack(*(_bytes(x[b:e]) for x in ids), *(s for c in counts for s in _short(c[b:e])))
+
+
+def _write_runs(folder: str, sent, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(("kind", "bucket", "word", "cont", "raw"), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
+            return _lower_rows([])
+        hot: Hot = sent.value
         bucket = table["bucket"][0].as_py()
-        of = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
-        context = np.repeat(of("context", np.uint64), of("lengths", np.uint32).astype(np.int64))
-        word = of("low", np.uint32).astype(np.uint64) | (of("high", np.uint16).astype(np.uint64) << K.U64(32))
-        key, first, count = _summed(pair_key(context, word), of("counts", np.uint32).astype(np.int64))
-        context, word = context[first], word[first]
-        attempt = _attempt()
-        small = np.minimum(count, 255).astype(np.uint8)
-        big = np.flatnonzero(count >= 255)
-        _save(f"{folder}/pair-{bucket:05d}.npy", key, attempt)
-        _save(f"{folder}/count-{bucket:05d}.npy", small, attempt)
-        _save(f"{folder}/large-{bucket:05d}.npy", np.stack([big, count[big]]).astype(np.int64), attempt)
-        names, _, total, n1, n2, n3 = _summed(context, count, (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64))
-        stats = np.stack([total, n1, n2, n3], 1) if len(names) else np.zeros((0, 4), np.int64)
-        often = np.isin(names, hot.value)
-        _save(f"{folder}/context-{bucket:05d}.npy", names[~often], attempt)
-        _save(f"{folder}/total-{bucket:05d}.npy", stats[~often].astype(np.uint32 if stats.max(initial=0) < 1 << 32 else np.int64), attempt)
-        rows = [(1, bucket, b"", np.array(_counts_of_counts(count), np.int64).tobytes(), b""), (2, bucket, names[often].tobytes(), stats[often].tobytes(), b"")]
-        w, _, cont, raw = _summed(word, np.ones(len(word), np.int64), count)
-        to = bucket_of(w, buckets)
-        order = np.argsort(to, kind="stable")
-        w, cont, raw, to = w[order], cont[order], raw[order], to[order]
-        at = np.searchsorted(to, np.arange(buckets + 1))
-        rows += [(0, k, w[at[k] : at[k + 1]].tobytes(), cont[at[k] : at[k + 1]].astype(np.uint32).tobytes(), raw[at[k] : at[k + 1]].astype(np.uint32).tobytes()) for k in range(buckets) if at[k] < at[k + 1]]
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (2, 3, 4))], names=["kind", "bucket", "word", "cont", "raw"])
+        u, v, w, count = (np.concatenate(x) for x in zip(*(_unpack_runs(d.as_py(), hot.coded) for d in table["data"]), strict=True))
+        pair = pair_key(u, v)
+        run_key, first, count = _summed(pair_key(pair, w), count)
+        v, w, pair = v[first], w[first], pair[first]
+        del u, first
+        later = v != START
+        name, stats = _by_context(pair[later], count[later])
+        often = slots(hot.pairs, name)[0]
+        numbers = [_stat(RUN_COUNTS, _counts_of_counts(count[later])), *_hot_stats(HOT_PAIR, name[often], stats[:, often])]
+        kept = ~often & ((stats * [[1], [2], [3], [1]]).sum(0) > 1)
+        tables = [Table.parts(run_key[later] >> K.U64(16), count[later]), Table.parts(name[kept] >> K.U64(16), *stats[:, kept])]
+        del run_key, pair, name, stats
+        key, first, types, raw = _summed(pair_key(v, w), np.where(later, 1, count), count)
+        v, w = v[first], w[first]
+        often = slots(hot.words, v)[0]
+        rows = list(_dealt(1, bucket_of(w[often], buckets), [v[often], w[often]], [types[often], raw[often]]))
+        key, v, w, types, raw = (x[~often] for x in (key, v, w, types, raw))
+        numbers.append(_stat(PAIR_COUNTS, _counts_of_counts(types)))
+        name, stats = _by_context(v, types)
+        kept = (stats * [[1], [2], [3], [1]]).sum(0) > 1
+        tables += [Table.parts(key >> K.U64(16), types), Table.parts(name[kept], *stats[:, kept])]
+        save_tables(f"{folder}/runs-{bucket:07d}", tables)
+        word, _, cont, raw = _summed(w, np.ones(len(w), np.int64), raw)
+        rows += _dealt(0, bucket_of(word, buckets), [word], [cont, raw])
+        return _lower_rows([*rows, (2, bucket, np.stack(numbers).tobytes())])
 
     return run
 
 
-#: Per row: kind and bucket as in LOWER, numbers as int64.
-STATS = "kind int, bucket int, ids binary, numbers binary"
+#: Per row: a statistic's kind, the context that it is about, its numbers.
+STATS = "kind bigint, name bigint, " + ", ".join(f"n{k} bigint" for k in range(NUMBERS))
 
 
 def _write_words(folder: str):
     def run(table: pa.Table) -> pa.Table:
-        kind = table["kind"][0].as_py() if table.num_rows else 1
-        if kind != 0:  # small rows on their way to the driver
-            return pa.table([table["kind"], table["bucket"], table["word"], table["cont"]], names=["kind", "bucket", "ids", "numbers"])
-        bucket = table["bucket"][0].as_py()
-        of = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
-        word, _, cont, raw = _summed(of("word", np.uint64), of("cont", np.uint32).astype(np.int64), of("raw", np.uint32).astype(np.int64))
-        attempt = _attempt()
-        _save(f"{folder}/word-{bucket:05d}.npy", word, attempt)
-        _save(f"{folder}/counts-{bucket:05d}.npy", np.stack([cont, raw], 1), attempt)
-        numbers = [*_counts_of_counts(cont), len(word), int(cont.sum()), int(raw.sum()), int((cont > 2).sum())]
-        return pa.table([pa.array([0], pa.int32()), pa.array([bucket], pa.int32()), pa.array([b""], pa.binary()), pa.array([np.array(numbers, np.int64).tobytes()], pa.binary())], names=["kind", "bucket", "ids", "numbers"])
+        kinds, data = table["kind"].to_pylist(), table["data"].to_pylist()
+        numbers = [np.frombuffer(d, np.int64).reshape(-1, NUMBERS + 2) for k, d in zip(kinds, data, strict=True) if k == 2]
+
+        def of(kind: int, ids: int, layout: tuple[str, ...]) -> list[np.ndarray]:
+            got = [_unpack(d, *layout) for k, d in zip(kinds, data, strict=True) if k == kind]
+            got = [[*g[:ids], _long(*g[ids : ids + 2]), _long(*g[ids + 2 :])] for g in got]
+            return [np.concatenate(x) for x in zip(*got, strict=True)] or [np.zeros(0, K.U64)] * ids + [np.zeros(0, np.int64)] * 2
+
+        if 0 in kinds or 1 in kinds:
+            bucket = table["bucket"][0].as_py()
+            v, w, types, raw = of(1, 2, PAIR_KINDS)
+            key, first, types, raw = _summed(pair_key(v, w), types, raw)
+            v, w = v[first], w[first]
+            numbers.append(_stat(PAIR_COUNTS, _counts_of_counts(types))[None])
+            numbers += [s[None] for s in _hot_stats(HOT_WORD, *_by_context(v, types))]
+            word, cont, often = of(0, 1, WORD_KINDS)
+            word, _, cont, raw = _summed(np.append(word, w), np.append(cont, np.ones(len(w), np.int64)), np.append(often, raw))
+            save_tables(f"{folder}/words-{bucket:07d}", [Table.parts(key >> K.U64(16), types), Table.parts(word, cont, raw)])
+            numbers.append(_stat(WORD_COUNTS, [*_counts_of_counts(cont), len(word), int(cont.sum()), int(raw.sum()), int((cont > 2).sum())])[None])
+        rows = np.concatenate(numbers) if numbers else np.zeros((0, NUMBERS + 2), np.int64)
+        return pa.table([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=["kind", "name", *(f"n{k}" for k in range(NUMBERS))])
 
     return run
 
@@ -223,25 +463,29 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1))])
 
 
+def less(count: np.ndarray, discount: np.ndarray) -> np.ndarray:
+    return np.where(count > 0, count - discount[np.minimum(count, 3)], 0)
+
+
 class Model:
-    """The small part of a model (sent to tasks) and, in a task, its mapped arrays."""
-
-    def __init__(self, folder: str, buckets: int, hot: np.ndarray, rows: list):
-        self.folder, self.buckets, self.hot = folder, buckets, hot
-        self.hot_stats = np.zeros((len(hot), 4), np.int64)
-        pairs, words = np.zeros(4, np.int64), np.zeros(8, np.int64)
-        self.word_buckets, self.pair_buckets = [], []
-        for kind, bucket, ids, numbers in rows:
-            numbers = np.frombuffer(numbers, np.int64)
-            if kind == 0:
+    """The small part of a model (sent to tasks) and, in a task, its mapped tables."""
+
+    #: Files mapped at once.
+    MAPPED = 8192
+
+    def __init__(self, folder: str, buckets: int, hot: Hot, rows: list):
+        self.folder, self.buckets, self.hot = folder, buckets, Hot(hot.words, hot.pairs, np.zeros(0, K.U64))
+        sums, words = {k: np.zeros(4, np.int64) for k in (RUN_COUNTS, PAIR_COUNTS)}, np.zeros(NUMBERS, np.int64)
+        self.hot_words, self.hot_pairs = np.zeros((4, len(hot.words)), np.int64), np.zeros((4, len(hot.pairs)), np.int64)
+        for kind, name, *numbers in rows:
+            if kind == WORD_COUNTS:
                 words += numbers
-                self.word_buckets.append(bucket)
-            elif kind == 1:
-                pairs += numbers
-                self.pair_buckets.append(bucket)
+            elif kind in sums:
+                sums[kind] += numbers[:4]
             else:
-                np.add.at(self.hot_stats, np.searchsorted(hot, np.frombuffer(ids, np.uint64)), numbers.reshape(-1, 4))
-        self.high, self.low = discounts(pairs.tolist()), discounts(words[:4].tolist())
+                names, stats = (hot.words, self.hot_words) if kind == HOT_WORD else (hot.pairs, self.hot_pairs)
+                stats[:, np.searchsorted(names, np.int64(name).view(K.U64))] += numbers[:4]
+        self.high, self.middle, self.low = discounts(sums[RUN_COUNTS].tolist()), discounts(sums[PAIR_COUNTS].tolist()), discounts(words[:4].tolist())
         self.vocabulary, self.continuations, self.train_tokens = (int(x) for x in words[4:7])
         self.spare = float((self.low[1:] * [words[0], words[1], words[7]]).sum() / max(self.continuations, 1))
         self.maps: dict = {}
@@ -249,82 +493,86 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "maps": {}}
 
-    def array(self, name: str, bucket: int) -> np.ndarray:
-        key = name, bucket
+    def tables(self, file: str, bucket: int) -> list[Table]:
+        key = file, bucket
         if key not in self.maps:
-            path = f"{self.folder}/{name}-{bucket:05d}.npy"
-            here = local_path(path)
-            self.maps[key] = np.load(here, mmap_mode="r") if here else np.load(open_file(path))
+            while len(self.maps) >= self.MAPPED:
+                self.maps.pop(next(iter(self.maps)))
+            self.maps[key] = open_tables(f"{self.folder}/{file}-{bucket:07d}", 4 if file == "runs" else 2)
         return self.maps[key]
 
-    def find(self, name: str, known: list[int], bucket: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Per bucket: which of the keys are there, and their slots."""
-        order = np.lexsort((key, bucket))
-        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        for b in known:
-            mine = order[edges[b] : edges[b + 1]]
-            held = self.array(name, b)
-            if not len(mine) or not len(held):
-                continue
-            slot = np.minimum(np.searchsorted(held, key[mine]), len(held) - 1)
-            hit = held[slot] == key[mine]
-            yield b, mine[hit], slot[hit]
-
-    def word_counts(self, words: np.ndarray) -> np.ndarray:
-        """Continuation and training counts of (distinct) words."""
-        out = np.zeros((len(words), 2), np.int64)
-        for b, which, slot in self.find("word", self.word_buckets, bucket_of(words, self.buckets), words):
-            out[which] = self.array("counts", b)[slot]
+    def find(self, file: str, which: int, columns: int, bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The counts of keys, each in its bucket's table."""
+        out = np.zeros((columns, len(key)), np.int64)
+        order = np.argsort(bucket.astype(K.U64) << K.U64(48) | key) if self.buckets < 1 << 16 else np.lexsort((key, bucket))
+        bucket, key = bucket[order], key[order]
+        for b, e in _groups(bucket):
+            if tables := self.tables(file, int(bucket[b])):
+                out[:, order[b:e]] = tables[which].get(key[b:e])
         return out
 
-    def context_stats(self, contexts: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(contexts), 4), np.int64)
-        for b, which, slot in self.find("context", self.pair_buckets, bucket_of(contexts, self.buckets), contexts):
-            out[which] = self.array("total", b)[slot]
-        if len(self.hot):
-            slot = np.minimum(np.searchsorted(self.hot, contexts), len(self.hot) - 1)
-            often = self.hot[slot] == contexts
-            out[often] = self.hot_stats[slot[often]]
-        return out
-
-    def pair_counts(self, contexts: np.ndarray, key: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(key), np.int64)
-        for b, which, slot in self.find("pair", self.pair_buckets, pair_bucket(contexts, key, self.hot, self.buckets), key):
-            count = self.array("count", b)[slot].astype(np.int64)
-            over = np.flatnonzero(count == 255)
-            if len(over):
-                at, value = np.asarray(self.array("large", b))
-                count[over] = value[np.searchsorted(at, slot[over])]
-            out[which] = count
-        return out
+    def weights(self, stats: np.ndarray, seen: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of contexts and what they leave to the level below; seen but not stored: one word, once."""
+        total = np.array([1, 2, 3, 1]) @ stats
+        left = np.where(total > 0, discount[1:] @ stats[:3] / np.maximum(total, 1), np.where(seen, discount[1], 1.0))
+        return np.maximum(total, 1), left
 
-    def log10(self, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token after its context, and its training count."""
+    def log10(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each token after those before it in its text, and its training count."""
         word, where = np.unique(tokens, return_inverse=True)
-        counts = self.word_counts(word)
-        cont = counts[:, 0]
-        floor = 1 / (self.vocabulary + 1)
-        low = np.where(cont > 0, cont - self.low[np.minimum(cont, 3)], 0) / max(self.continuations, 1) + (self.spare if self.continuations else 1.0) * floor
-        context, which = np.unique(before, return_inverse=True)
-        total, n1, n2, n3 = self.context_stats(context).T
-        left = np.where(total > 0, (self.high[1] * n1 + self.high[2] * n2 + self.high[3] * n3) / np.maximum(total, 1), 1.0)
-        key, first, back = np.unique(pair_key(before, tokens), return_index=True, return_inverse=True)
-        count = self.pair_counts(before[first], key)[back]
-        p = np.where(count > 0, count - self.high[np.minimum(count, 3)], 0) / np.maximum(total[which], 1) + left[which] * low[where]
-        return np.log10(p), counts[where, 1]
+        cont, raw = self.find("words", 1, 2, bucket_of(word, self.buckets), word)
+        low = less(cont, self.low) / max(self.continuations, 1) + (self.spare if self.continuations else 1.0) / (self.vocabulary + 1)
+
+        u, v = before(tokens, at, START, NONE)
+        _, after = before(where, at, len(word), 0)  # the word before, as a slot
+        context = np.append(word, START)
+        stats = self.find("runs", 3, 4, bucket_of(context, self.buckets), context)
+        often, slot = slots(self.hot.words, context)
+        stats[:, often] = self.hot_words[:, slot[often]]
+        total, left = self.weights(stats, np.append(raw > 0, self.train_tokens > 0), self.middle)
+        key = pair_key(v, tokens) >> K.U64(16)
+        often = often[after]
+        types = np.zeros(len(tokens), np.int64)
+        types[~often] = self.find("runs", 2, 1, bucket_of(v[~often], self.buckets), key[~often])[0]
+        types[often] = self.find("words", 0, 1, bucket_of(tokens[often], self.buckets), key[often])[0]
+        middle = less(types, self.middle) / total[after] + left[after] * low[where]
+
+        later = np.ones(len(tokens), bool)
+        later[at[:-1]] = False
+        seen = np.concatenate([[False], types[:-1] > 0])[later]  # (u, v) was looked up one token before
+        pair = pair_key(u[later], v[later])
+        run = pair_key(pair, tokens[later])
+        stats = self.find("runs", 1, 4, self.hot.context_bucket(v[later], pair, self.buckets), pair >> K.U64(16))
+        often, slot = slots(self.hot.pairs, pair)
+        stats[:, often] = self.hot_pairs[:, slot[often]]
+        total, left = self.weights(stats, seen, self.high)
+        count = self.find("runs", 0, 1, self.hot.run_bucket(v[later], pair, run, self.buckets), run >> K.U64(16))[0]
+        middle[later] = less(count, self.high) / total + left * middle[later]
+        return np.log10(middle), raw[where]
+
+
+def _hot(texts: DataFrame, buckets: int) -> Hot:
+    """Bounded by LEAST_SHARE and CODES: at most so many words and pairs can have such a share of all tokens."""
+    counted = texts.mapInArrow(_frequent, "kind int, name bigint, n bigint").groupBy("kind", "name").agg(F.sum("n").alias("n"))
+    ranked = [counted.where(F.col("kind") == kind).orderBy(F.desc("n"), "name").limit(most) for kind, most in ((0, CODES), (1, int(1 / LEAST_SHARE)), (2, 1))]
+    rows = ranked[0].unionByName(ranked[1]).unionByName(ranked[2]).collect()
+    total = sum(r["n"] for r in rows if r["kind"] == 2)
+    least = max(1 / (4 * buckets), LEAST_SHARE) * total
+    of = lambda kind, n: np.array([r["name"] for r in rows if r["kind"] == kind and r["n"] >= n], np.int64).view(K.U64)
+    return Hot(np.sort(of(0, least)), np.sort(of(1, least)), of(0, 0))
 
 
 def train(texts: DataFrame) -> Model:
-    """Fit on a table with the one column text; the arrays go to the shared folder."""
+    """Fit on a table with the one column text; the tables go to the shared folder."""
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (6 * BUCKET_TOKENS)))
-    frequent = texts.mapInArrow(_frequent, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(int(2 / HOT_SHARE))
-    hot = np.sort(np.array([r["word"] for r in frequent.collect()], np.uint64))
+    hot = _hot(texts, buckets)
     sent = spark.sparkContext.broadcast(hot)
     folder = f"{shared_folder(spark)}/kneser_ney"
-    lower = texts.mapInArrow(_deal_pairs(sent, buckets), PAIRS).groupBy("bucket").applyInArrow(_write_pairs(folder, sent, buckets), LOWER)
-    rows = lower.groupBy("kind", "bucket").applyInArrow(_write_words(folder), STATS).collect()
+    lower = texts.mapInArrow(_deal_runs(sent, buckets), RUNS).groupBy("bucket").applyInArrow(_write_runs(folder, sent, buckets), LOWER)
+    stats = lower.groupBy("bucket").applyInArrow(_write_words(folder), STATS)
+    rows = stats.groupBy("kind", "name").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(NUMBERS))).collect()
     return Model(folder, buckets, hot, [tuple(r) for r in rows])
 
 
@@ -336,7 +584,7 @@ def _score(model):
         m = model.value
         for table, buf, off in K.chunks(batches, "text"):
             tokens, at = tokens_of(buf, off)
-            log, count = m.log10(tokens, contexts_of(tokens, at))
+            log, count = m.log10(tokens, at)
             base = np.log10((count + 1) / (m.train_tokens + 1 * (m.vocabulary + 1)))
             total = lambda x: np.add.reduceat(x, at[:-1])
             yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), table["held_out"].combine_chunks(), pa.array(np.diff(at)), pa.array(total((count > 0).astype(np.int64))), pa.array(total(base)), pa.array(total(log))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
@@ -368,14 +616,17 @@ ORACLE = {
     "op6_kneser_ney": rf"""
 with {_CRC},
 d as (select doc_id, crc % 7 = 2 held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) w from documents join crc using (doc_id)),
-t as (select doc_id, held_out, case when i = 1 then chr(9) else w[i - 1] end v, w[i] w from (select *, unnest(range(1, len(w) + 1)) i from d)),
-b as (select v, w, count(*) n from t where not held_out group by v, w),
-u as (select w, count(*) n, sum(n)::bigint raw from b group by w),
+t as (select doc_id, held_out, i, case when i > 2 then w[i - 2] else chr(9) end u, case when i = 1 then chr(9) else w[i - 1] end v, w[i] w from (select *, unnest(range(1, len(w) + 1)) i from d)),
+a as (select u, v, w, count(*) n from t where not held_out and i > 1 group by u, v, w),
+b as (select v, w, case v when chr(9) then sum(n) else count(*) end n, sum(n)::bigint raw from (select u, v, w, n from a union all select null, v, w, count(*) from t where not held_out and i = 1 group by v, w) group by v, w),
+u as (select w, count(*) n, sum(raw)::bigint raw from b group by w),
+x as (select u, v, sum(n)::double tot3, count(*) filter (n = 1) j1, count(*) filter (n = 2) j2, count(*) filter (n > 2) j3 from a group by u, v),
 c as (select v, sum(n)::double tot, count(*) filter (n = 1) k1, count(*) filter (n = 2) k2, count(*) filter (n > 2) k3 from b group by v),
 g as (select sum(raw)::double big_n, count(*)::double big_v, sum(n)::double a, count(*) filter (n = 1) m1, count(*) filter (n = 2) m2, count(*) filter (n > 2) m3 from u),
-hi as ({_clip("b")}), lo as (select d1 f1, d2 f2, d3 f3 from ({_clip("u")})),
-s as (select t.*, coalesce(u.raw, 0) raw, (case when u.n is null then 0 else u.n - case u.n when 1 then f1 when 2 then f2 else f3 end end) / a + (f1 * m1 + f2 * m2 + f3 * m3) / a / (big_v + 1) low,
-  case when b.n is null then 0 else b.n - case b.n when 1 then d1 when 2 then d2 else d3 end end num, coalesce(tot, 1) tot, case when c.v is null then 1 else (d1 * k1 + d2 * k2 + d3 * k3) / tot end gam, big_n, big_v
-  from t left join u on u.w = t.w left join b on b.v = t.v and b.w = t.w left join c on c.v = t.v, g, hi, lo)
-select doc_id, held_out, count(*) n_tokens, count(*) filter (raw > 0) n_known, any_value(big_n)::bigint train_tokens, round(sum(log10((raw + 1) / (big_n + big_v + 1))), 6) base_score, round(sum(log10(num / tot + gam * low)), 6) score from s group by doc_id, held_out"""
+top as (select d1 e1, d2 e2, d3 e3 from ({_clip("a")})), hi as ({_clip("b")}), lo as (select d1 f1, d2 f2, d3 f3 from ({_clip("u")})),
+s as (select t.*, coalesce(u.raw, 0) raw, (case when u.n is null then 0 else u.n - case u.n when 1 then f1 when 2 then f2 else f3 end end) / g.a + (f1 * m1 + f2 * m2 + f3 * m3) / g.a / (big_v + 1) low,
+  case when b.n is null then 0 else b.n - case b.n when 1 then d1 when 2 then d2 else d3 end end num, coalesce(tot, 1) tot, case when c.v is null then 1 else (d1 * k1 + d2 * k2 + d3 * k3) / tot end gam,
+  case when a.n is null then 0 else a.n - case a.n when 1 then e1 when 2 then e2 else e3 end end num3, coalesce(tot3, 1) tot3, case when x.v is null then 1 else (e1 * j1 + e2 * j2 + e3 * j3) / tot3 end gam3, big_n, big_v
+  from t left join u on u.w = t.w left join b on b.v = t.v and b.w = t.w left join c on c.v = t.v left join x on t.i > 1 and x.u = t.u and x.v = t.v left join a on t.i > 1 and a.u = t.u and a.v = t.v and a.w = t.w, g, top, hi, lo)
+select doc_id, held_out, count(*) n_tokens, count(*) filter (raw > 0) n_known, any_value(big_n)::bigint train_tokens, round(sum(log10((raw + 1) / (big_n + big_v + 1))), 6) base_score, round(sum(log10(num3 / tot3 + gam3 * (num / tot + gam * low))), 6) score from s group by doc_id, held_out"""
 }

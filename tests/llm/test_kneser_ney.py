@@ -17,28 +17,42 @@ def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), None]
 
 
+def runs(t):
+    """Each token with the two before it; None, 0 before the first."""
+    return zip([None, 0, *t], [0, *t], t)  # noqa: B905
+
+
 class Plain:
     def __init__(self, texts):
         train = [tokens(t) for t in texts]
         self.c = collections.Counter(w for t in train for w in t)
-        self.pair = collections.Counter(p for t in train for p in zip([0, *t], t))
+        every = collections.Counter(r for t in train for r in runs(t))
+        self.run = {r: n for r, n in every.items() if r[0] is not None}
+        self.pair = collections.Counter()
+        for (u, v, w), n in every.items():
+            self.pair[v, w] += n if u is None else 1
         self.cont = collections.Counter(w for _, w in self.pair)
         self.context = collections.defaultdict(lambda: [0, 0, 0, 0])
-        for (v, _), n in self.pair.items():
-            self.context[v][0] += n
-            self.context[v][min(n, 3)] += 1
+        for counts in (self.run, self.pair):
+            for (*v, _), n in counts.items():
+                self.context[tuple(v)][0] += n
+                self.context[tuple(v)][min(n, 3)] += 1
         of = lambda counts: [sum(n == k for n in counts.values()) for k in (1, 2, 3, 4)]
-        self.high, self.low = M.discounts(of(self.pair)), M.discounts(of(self.cont))
+        self.high, self.middle, self.low = (M.discounts(of(x)) for x in (self.run, self.pair, self.cont))
         self.all = sum(self.cont.values())
         self.spare = sum(self.low[min(n, 3)] for n in self.cont.values()) / self.all if self.all else 1.0
 
-    def p(self, v, w):
-        a, n = self.cont[w], self.pair.get((v, w), 0)
-        low = (a - self.low[min(a, 3)] if a else 0) / max(self.all, 1) + self.spare / (len(self.c) + 1)
-        if v not in self.context:
-            return low
-        total, *k = self.context[v]
-        return (n - self.high[min(n, 3)] if n else 0) / total + sum(d * x for d, x in zip(self.high[1:], k)) / total * low
+    def p(self, u, v, w):
+        a = self.cont[w]
+        out = (a - self.low[min(a, 3)] if a else 0) / max(self.all, 1) + self.spare / (len(self.c) + 1)
+        for context, n, d in (((v,), self.pair.get((v, w), 0), self.middle), ((u, v), self.run.get((u, v, w), 0), self.high)):
+            if context in self.context:
+                total, *k = self.context[context]
+                out = (n - d[min(n, 3)] if n else 0) / total + sum(x * y for x, y in zip(d[1:], k)) / total * out
+        return out
+
+    def score(self, t):
+        return sum(math.log10(self.p(*r)) for r in runs(t))
 
 
 def run(spark, rows):
@@ -63,7 +77,7 @@ def test_equals_plain_counts(spark, monkeypatch, flush):
         fits = []
         for t in texts[r.doc_id]:
             base = sum(math.log10((plain.c[w] + 1) / (r.train_tokens + len(plain.c) + 1)) for w in t)
-            score = sum(math.log10(plain.p(v, w)) for v, w in zip([0, *t], t))
+            score = plain.score(t)
             fits.append((r.n_tokens, r.n_known) == (len(t), sum(plain.c[w] > 0 for w in t)) and abs(base - r.base_score) < 1e-6 * (1 + abs(base)) and abs(score - r.score) < 1e-6 * (1 + abs(score)))
         assert any(fits), r
 
@@ -71,18 +85,18 @@ def test_equals_plain_counts(spark, monkeypatch, flush):
 def test_probabilities_sum_to_one():
     texts = [tables.prose(60, i, 25) for i in range(8)]
     plain = Plain(texts)
-    for v in [0, "w3", "w7", "never"]:
-        assert abs(sum(plain.p(v, w) for w in plain.c) + plain.p(v, "unseen") - 1) < 1e-9
+    for u, v in [(None, 0), (0, "w3"), ("w3", "w7"), ("never", "w7"), ("w7", "never"), *(r[:2] for r in list(plain.run)[:20])]:
+        assert abs(sum(plain.p(u, v, w) for w in plain.c) + plain.p(u, v, "unseen") - 1) < 1e-9
 
 
 def test_frequent_contexts_are_dealt_by_pair(spark):
     rows = [(i, "the " + " the ".join(f"x{i}y{k}" for k in range(40)), "", "", 0) for i in range(50)]
     docs, model = run(spark, rows)
-    assert len(model.hot) and model.hot_stats[:, 0].max() > 1000
+    assert len(model.hot.words) and np.array([1, 2, 3, 1]) @ model.hot_words.max(1) > 1000
     plain = Plain([r[1] for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2])
     for r in M.score(docs, model).collect():
         t = tokens(rows[r.doc_id][1])
-        assert abs(r.score - sum(math.log10(plain.p(v, w)) for v, w in zip([0, *t], t))) < 1e-6
+        assert abs(r.score - plain.score(t)) < 1e-6
 
 
 def test_empty_table_and_no_training_rows(spark):
