@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import kernel as K
-from tessera.llm.common import fold_bucket, read, shared_folder
+from tessera.llm.common import fold_bucket, read, shared_folder, written
 from tessera.llm.shared_io import local_path, open_file, write_file
 
 BITS48 = K.U64((1 << 48) - 1)
@@ -553,7 +553,7 @@ class Model:
 
 def _hot(texts: DataFrame, buckets: int) -> Hot:
     """Bounded by LEAST_SHARE and CODES: at most so many words and pairs can have such a share of all tokens."""
-    counted = texts.mapInArrow(_frequent, "kind int, name bigint, n bigint").groupBy("kind", "name").agg(F.sum("n").alias("n"))
+    counted = written(texts.mapInArrow(_frequent, "kind int, name bigint, n bigint").groupBy("kind", "name").agg(F.sum("n").alias("n")))
     ranked = [counted.where(F.col("kind") == kind).orderBy(F.desc("n"), "name").limit(most) for kind, most in ((0, CODES), (1, int(1 / LEAST_SHARE)), (2, 1))]
     rows = ranked[0].unionByName(ranked[1]).unionByName(ranked[2]).collect()
     total = sum(r["n"] for r in rows if r["kind"] == 2)
