@@ -69,9 +69,26 @@ def scan_add(a: Column) -> Column:
     return scan(a, F.lit(0), lambda s, x: s + x)
 
 
-def scan_max(a: Column) -> Column:
-    """Prefix maxima: each is the maximum of a slice."""
-    return F.transform(a, lambda _, i: F.array_max(F.slice(a, F.lit(1), i + 1)))
+def scan_mul(a: Column) -> Column:
+    return scan(a, F.lit(1), lambda s, x: s * x)
+
+
+def scan_max(a: Column, kind: str = "bigint") -> Column:
+    """Prefix maxima."""
+    return scan(a, F.lit(None), lambda s, x: F.greatest(s, x), kind)
+
+
+def scan_min(a: Column, kind: str = "bigint") -> Column:
+    return scan(a, F.lit(None), lambda s, x: F.least(s, x), kind)
+
+
+def scan_all(a: Column) -> Column:
+    """Whether all so far are true (or nonzero)."""
+    return scan(a, F.lit(True), lambda s, x: s & x.cast("boolean"), "boolean")
+
+
+def scan_any(a: Column) -> Column:
+    return scan(a, F.lit(False), lambda s, x: s | x.cast("boolean"), "boolean")
 
 
 def shift(a: Column, n: int, fill: Column) -> Column:

@@ -77,6 +77,39 @@ def float_bits(x: Column) -> Column:
     return F.when(bits >= 0, bits).otherwise(F.bitwise_not(bits).bitwiseXOR(F.lit(MIN64)))
 
 
+def bits_float(key: Column) -> Column:
+    """The double of a total-order key."""
+    bits = F.when(key >= 0, key).otherwise(F.bitwise_not(key.bitwiseXOR(F.lit(MIN64))))
+    return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+#: 2^63, to read a signed word as the unsigned one that orders alike.
+HALF = "9223372036854775808"
+
+
+def order_word(x: Column, tag: str) -> Column:
+    """The unsigned number that orders like a value of the tag; 64-bit words are decimals, so they order and print as such."""
+    half = F.lit(HALF).cast("decimal(20,0)")
+    if tag[0] == "f":
+        return (float_bits(x).cast("decimal(20,0)") + half).cast("decimal(20,0)")
+    if tag == "i64":
+        return (x.cast("decimal(20,0)") + half).cast("decimal(20,0)")
+    if tag[0] == "i":
+        return (x.cast("bigint") + (1 << int(tag[1:]) - 1)).cast(TYPES["u" + tag[1:]])
+    return x
+
+
+def from_order_word(x: Column, tag: str) -> Column:
+    signed = lambda: (x.cast("decimal(20,0)") - F.lit(HALF).cast("decimal(20,0)")).cast("bigint")
+    if tag[0] == "f":
+        return bits_float(signed()).cast(TYPES[tag])
+    if tag == "i64":
+        return signed()
+    if tag[0] == "i":
+        return (x.cast("bigint") - (1 << int(tag[1:]) - 1)).cast(TYPES[tag])
+    return x
+
+
 def blend(mask: Column, then: Column, otherwise: Column) -> Column:
     """``then`` where the mask is true (or nonzero)."""
     return F.when(mask.cast("boolean"), then).otherwise(otherwise)

@@ -771,3 +771,64 @@ class Program:
         with scalar.wrapping(df.sparkSession):
             v = self.value(F.col(column).cast("bigint"))
             return df.withColumns({result: chosen(v.col, v.err), err: F.lit(False) if v.err is None else v.err})
+
+
+class Builder:
+    """A program as a graph of operators, added one by one; a node that several others use is computed once.
+
+    >>> b = Builder()
+    >>> squares = b.add("mul", b.tuple(b.input, b.input))
+    >>> b.program(b.tuple(squares, b.add("gt", squares, number=40)))
+    """
+
+    input = 0
+
+    def __init__(self):
+        self.nodes: list[tuple[str, tuple[int, ...], int | None]] = [("input", (), None)]
+
+    def add(self, name: str, *of: int, number: int | None = None) -> int:
+        """A node for an operator of the vocabulary; several arguments are its product."""
+        if name not in PLAIN and name not in NUMBERED or (name in NUMBERED) != (number is not None):
+            raise ProgramError(f"no operator {name!r} {'with' if number is not None else 'without'} a number")
+        return self._node(name, of, number)
+
+    def tuple(self, *of: int) -> int:
+        return self._node("", of, None)
+
+    def _node(self, name: str, of: tuple[int, ...], number: int | None) -> int:
+        if not of or any(not 0 <= k < len(self.nodes) for k in of):
+            raise ProgramError("a node takes nodes that are there already")
+        self.nodes.append((name, of, number))
+        return len(self.nodes) - 1
+
+    def program(self, result: int) -> Program:
+        return Built(list(self.nodes), result)
+
+
+class Built(Program):
+    """The program of a graph's node."""
+
+    def __init__(self, nodes: list, result: int):
+        self.nodes, self.result, self.source = nodes, result, ""
+
+    def value(self, root: Column) -> Value:
+        needed, todo = {0}, [self.result]
+        while todo:
+            k = todo.pop()
+            needed.add(k)
+            todo += [x for x in self.nodes[k][1] if x not in needed]
+        uses = [of for k in needed for of in self.nodes[k][1]]
+
+        def made_of(k: int, held: dict[int, Value]) -> Value:
+            name, of, number = self.nodes[k]
+            args = held[of[0]] if name and len(of) == 1 else made([held[x] for x in of])
+            return args if not name else PLAIN[name](args) if number is None else NUMBERED[name](args, number)
+
+        def go(rest: list[int], held: dict[int, Value]) -> Value:
+            if not rest:
+                return held[self.result]
+            k, *rest = rest
+            v = made_of(k, held)
+            return bound(v, lambda b: go(rest, {**held, k: b})) if uses.count(k) > 1 else go(rest, {**held, k: v})
+
+        return go(sorted(needed - {0}), {0: Value(U64, root)})

@@ -30,6 +30,10 @@ class StackError(ValueError):
     pass
 
 
+#: Words whose number of columns may follow without a dot.
+ARITY = re.compile(r"(entuple|detuple|cat|partition|inject|branch|merge)(\d+)$")
+
+
 class Frame:
     """Numbered rows: ``pos`` from 0, and any other columns."""
 
@@ -43,6 +47,7 @@ class Col:
 
     def __init__(self, frame: Frame, expr: Column, const: Column | None = None, mask: tuple | None = None):
         self.frame, self.expr, self.const, self.mask = frame, expr, const, mask
+        self.viewed: tuple[Col, Col] | None = None  # a view's source and positions
 
     def rows(self, name: str = "v") -> DataFrame:
         return self.frame.df.select("pos", self.expr.alias(name))
@@ -87,6 +92,7 @@ def together(*cols: Col) -> tuple[Frame, list[Column]]:
 class Machine:
     def __init__(self, spark: SparkSession):
         self.spark, self.stack, self.macros, self.clock = spark, [], {}, time.perf_counter()
+        self.profile: dict[str, list[float]] | None = None
 
     # ------------------------------------------------------------ reading
 
@@ -161,7 +167,10 @@ class Machine:
                 value = F.lit(float(m[1]) if tag[0] == "f" else int(m[1])).cast(scalar.TYPES[tag])
                 self.push(Col(Frame(self.spark.range(1).withColumnRenamed("id", "pos"), True), value, const=value))
             else:
+                began, profile = time.perf_counter(), self.profile
                 self.word(t)
+                if profile is not None:
+                    profile.setdefault(t, []).append(time.perf_counter() - began)
             at += 1
 
     def pop(self) -> Col:
@@ -195,15 +204,24 @@ class Machine:
             return self.elementwise(1, (lambda x: -x) if base == "neg" else F.abs, arg)
         if base == "as" and arg in scalar.TYPES:
             return self.elementwise(1, lambda x: x.cast(scalar.TYPES[arg]), None)
+        if base in ("enswizzle", "deswizzle") and arg in scalar.TYPES:
+            f = scalar.order_word if base == "enswizzle" else scalar.from_order_word
+            return self.elementwise(1, lambda x: f(x, arg), None)
+        if base == "square" and arg in scalar.TYPES:
+            return self.elementwise(1, scalar.square, arg)
+        if base == "clamp" and arg in scalar.TYPES:
+            return self.clamp(arg)
         if base == "show":
-            return None
+            return self.show()
         if base == "reduce" and arg.split(".")[0] in ("+", "*", "min", "max"):
             return self.reduce(arg.split(".")[0])
         if base == "cumsum":
             return self.cumsum()
         if base == "shift":
             return self.shift()
-        if base in ("entuple", "cat", "partition", "inject", "branch") and (arg.isdigit() or base == "branch"):
+        if not arg and (m := ARITY.match(base)):
+            base, arg = m.groups()
+        if base in ("entuple", "cat", "partition", "inject", "branch", "merge") and (arg.isdigit() or base == "branch"):
             return getattr(self, base)(int(arg or 2))
         if base == "detuple" and arg.isdigit():
             return self.detuple(int(arg))
@@ -294,6 +312,19 @@ class Machine:
         frame = Frame(out)
         self.push(Col(frame, F.struct("tag", *(F.col(f"l{k}") for k in range(n)))))
 
+    def merge(self, n: int) -> None:
+        """Lanes of one type back in the order of their tags."""
+        self.inject(n)
+        c = self.pop()
+        self.push(Col(c.frame, F.coalesce(*(c.expr[f"l{k}"] for k in range(n)))))
+
+    def clamp(self, tag: str) -> None:
+        if tag[0] == "f":
+            raise StackError("clamp of a float column")
+        high, low, x = self.pop(), self.pop(), self.pop()
+        frame, (v, a, b) = together(x, low, high)
+        self.push(Col(frame, scalar.clamp(v, a, b).cast(scalar.TYPES[tag])))
+
     def match(self, arms: list[list[str]], names: dict[str, Col]) -> None:
         """Each arm on its lane; the results go back to their source positions."""
         c, out = self.pop(), None
@@ -322,6 +353,17 @@ class Machine:
     def gather(self) -> None:
         """Values at positions; positions of a mask over the values' own frame are a filter."""
         at, x = self.pop(), self.pop()
+        self.gathered(at, x)
+        self.stack[-1].viewed = x, at
+
+    def decompose_view(self) -> None:
+        """The source and the positions that a view was made of."""
+        c = self.pop()
+        if c.viewed is None:
+            raise StackError("not a view")
+        self.push(*c.viewed)
+
+    def gathered(self, at: Col, x: Col) -> None:
         if at.mask and at.mask[0] is x.frame:
             return self.push(Col(at.mask[1], x.expr))
         rows = at.frame.df.withColumn("__at", at.expr).join(x.rows("__got").withColumnRenamed("pos", "__at").withColumn("__in", F.lit(True)), "__at", "left")
@@ -501,7 +543,9 @@ class Machine:
 
     def view_range(self) -> None:
         hi, lo, c = self.constant(self.pop()), self.constant(self.pop()), self.pop()
-        self.push(*fresh(seq.view_range(c.rows(), lo, hi).withColumn("pos", F.col("pos") - lo), "v"))
+        out = fresh(seq.view_range(c.rows(), lo, hi).withColumn("pos", F.col("pos") - lo), "v")[0]
+        out.viewed = c, Col(out.frame, F.col("pos") + lo)
+        self.push(out)
 
     def search(self) -> None:
         queries, target = self.pop(), self.pop()
@@ -537,7 +581,23 @@ class Machine:
         self.push(*(held[k] for k in order))
 
     def timed(self) -> None:
-        self.clock = time.perf_counter()
+        """Print the time since the last call (or the beginning). Words build plans: what runs later isn't in it."""
+        now = time.perf_counter()
+        print(f"time: {1000 * (now - self.clock):.0f} ms")
+        self.clock = now
+
+    def profiled(self, on: bool) -> None:
+        """Time per word (building its plan, and the jobs that it starts at once), longest first."""
+        for word, took in sorted((self.profile or {}).items(), key=lambda x: -sum(x[1])) * (not on):
+            print(f"{word}: {len(took)} x, {1000 * sum(took):.1f} ms")
+        self.profile = {} if on else None
+
+    def show(self, rows: int = 20) -> None:
+        """Print the first rows of the top column, which stays."""
+        c = self.pop()
+        self.push(c)
+        got = c.rows().orderBy("pos").limit(rows + 1).collect()
+        print(f"{c.type.simpleString()}[{' '.join(str(r.v) for r in got[:rows])}{' ...' * (len(got) > rows)}]")
 
 
 def _div(tag: str):
@@ -547,15 +607,30 @@ def _div(tag: str):
 ARITH = {"+": lambda t: lambda a, b: a + b, "-": lambda t: lambda a, b: a - b, "*": lambda t: lambda a, b: a * b, "/": _div, "%": lambda t: lambda a, b: a % b, "mod": lambda t: lambda a, b: a % b}
 COMPARE = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "=": lambda a, b: a.eqNullSafe(b), "!=": lambda a, b: ~a.eqNullSafe(b), ">=": lambda a, b: a >= b, ">": lambda a, b: a > b}
 WORDS = {
-    "dup": lambda m: m.over(0, 0), "drop": lambda m: m.pop() and None, "swap": lambda m: m.over(1, 0), "over": lambda m: m.over(0, 1, 0), "rot": lambda m: m.over(1, 2, 0), "time": Machine.timed, "profile.start": Machine.timed, "profile.print": Machine.timed,
+    "dup": lambda m: m.over(0, 0), "drop": lambda m: m.pop() and None, "swap": lambda m: m.over(1, 0), "over": lambda m: m.over(0, 1, 0), "rot": lambda m: m.over(1, 2, 0), "time": Machine.timed, "profile.start": lambda m: m.profiled(True), "profile.print": lambda m: m.profiled(False),
     "not": lambda m: m.elementwise(1, lambda a: ~a.cast("boolean"), None), "and": lambda m: m.elementwise(2, lambda a, b: a.cast("boolean") & b.cast("boolean"), None), "or": lambda m: m.elementwise(2, lambda a, b: a.cast("boolean") | b.cast("boolean"), None),
-    "any": lambda m: m.every("any"), "all": lambda m: m.every("all"), "iota": Machine.iota, "like": Machine.like, "spread": Machine.spread, "split": Machine.split, "where": Machine.where, "gather": Machine.gather, "view": Machine.gather, "filter": Machine.filter,
+    "any": lambda m: m.every("any"), "all": lambda m: m.every("all"), "iota": Machine.iota, "like": Machine.like, "spread": Machine.spread, "split": Machine.split, "where": Machine.where, "gather": Machine.gather, "view": Machine.gather, "decompose-view": Machine.decompose_view, "filter": Machine.filter,
     "sort": Machine.sort, "sort.perm": lambda m: m.sort(True), "sort.segmented": Machine.sort_segments, "group": Machine.group, "unique": Machine.unique, "nest": Machine.nest, "nest.stride": Machine.nest_stride, "flatten": Machine.flatten, "concat": lambda m: m.flatten(False),
     "list>bounds": Machine.bounds, "list>ranges": Machine.ranges, "bounds>keys": Machine.keys, "enlist": Machine.enlist, "unlist": Machine.unlist, "count": Machine.count, "head": Machine.head, "reverse": Machine.reverse, "reverse.segmented": lambda m: m.segments(F.reverse),
     "take": lambda m: m.taken(False), "skip": lambda m: m.taken(True), "take.segmented": Machine.take_segments, "view.range": Machine.view_range, "search": Machine.search, "intersect": Machine.intersect, "xprod": Machine.xprod,
 }
 
 
+def register(name: str, arity: int, f) -> None:
+    """Add a word: ``f`` takes the top ``arity`` columns' expressions (aligned by position) and returns one.
+
+    Built-in words cannot be replaced.
+    """
+    if name in WORDS:
+        raise StackError(f"{name!r} is taken")
+
+    def word(m: Machine) -> None:
+        frame, x = together(*[m.pop() for _ in range(arity)][::-1])
+        m.push(Col(frame, f(*x)))
+
+    WORDS[name] = word
+
+
 def run(spark: SparkSession, source: str, table: DataFrame | None = None) -> list[DataFrame]:
     """The columns a program leaves, deepest first, each as (pos, v).
 

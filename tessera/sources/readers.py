@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +31,30 @@ def edge_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.size(parts).alias("n"), *(n.alias(a) for n, a in zip(numbers, ("src", "dst", "time"), strict=True))).where("n = 4 and src is not null and dst is not null and time is not null").select("src", "dst", "time")
 
 
+def adjacency(spark: SparkSession, prefix: str, parts: int | None = None) -> DataFrame:
+    """(src, dst) of a binary adjacency pair: PREFIX.offsets (u64, one more than nodes) and PREFIX.targets (u32).
+
+    The files lie where all workers can open them; each task maps its own range of nodes.
+    """
+    offsets = np.memmap(f"{prefix}.offsets", "<u8", "r") if os.path.getsize(f"{prefix}.offsets") else np.zeros(1, "<u8")
+    nodes, schema = len(offsets) - 1, "src bigint, dst bigint"
+    if nodes < 1:
+        return spark.createDataFrame([], schema)
+
+    def read(batches):
+        starts = np.memmap(f"{prefix}.offsets", "<u8", "r")
+        targets = np.memmap(f"{prefix}.targets", "<u4", "r") if int(starts[-1]) else np.zeros(0, "<u4")
+        for batch in batches:
+            ids = batch["id"].to_numpy()
+            for b in range(0, len(ids), 4096):
+                mine = ids[b : b + 4096]
+                lo, hi = starts[mine].astype(np.int64), starts[mine + 1].astype(np.int64)
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange(int((hi - lo).sum()))
+                yield pd.DataFrame({"src": np.repeat(mine, hi - lo), "dst": targets[at].astype(np.int64)})
+
+    return spark.range(0, nodes, numPartitions=parts or max(1, min(nodes, spark.sparkContext.defaultParallelism * 4))).mapInPandas(read, schema)
+
+
 def millis(text: Column) -> Column:
     """RFC 3339 text as milliseconds of the epoch."""
     return F.unix_millis(F.to_timestamp(text))
