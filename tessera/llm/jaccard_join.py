@@ -6,6 +6,7 @@ its row. The steps, none of which emits all pairs of a group or gathers a group
 1. *Screen.* Half of all shingles (by hash) are dealt to buckets by hash. A set that has more shingles
    nobody shares than threshold allows to miss cannot link and leaves; no set that can link does. A task
    counts the shingles that several of its own sets have where it reads them, and deals one witness of each.
+   Of the sets left, one text each is read again, known by its hash.
 2. *Index.* Of the sets left, each shingle's frequency is counted, and each set's prefix (rarest first)
    is put into index lists whose entries hold size and position. Shingles of very many sets (counted in
    the tasks first; fewer than HOT_SHARE) are never dealt: their frequency goes to the tasks. Their index
@@ -258,12 +259,19 @@ def _add_shared(table: pa.Table) -> pa.Table:
     return pa.table({"fp": who, "shared": np.bincount(at, n, len(who)).astype(np.int64)})
 
 
-def _read_sets(text: str, width: int, bits):
+def _read_sets(text: str, text_hash: str, width: int, bits):
+    """The sets of the texts whose hash may be among those asked for (bits), once a task."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = b.column(text_hash).to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(maybe_in(np.frombuffer(bits.value, np.uint8), hashes)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, tokens, begin, fp in _sets(batches, text, width):
+        for _, tokens, begin, fp in _sets(asked(batches), text, width):
             out = []
-            for d in np.flatnonzero(maybe_in(np.frombuffer(bits.value, np.uint8), fp)).tolist():
+            for d in range(len(fp)):
                 if begin[d + 1] > begin[d] and int(fp[d]) not in seen:
                     seen.add(int(fp[d]))
                     out.append((int(fp[d]), tokens[begin[d] : begin[d + 1]].tobytes()))
@@ -675,25 +683,26 @@ def jaccard_join(
     """
     spark = docs.sparkSession
     carried = [column.alias(name) for name, column in (carry or {}).items()]
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carried)
-    fields = [f for f in docs.schema.fields if f.name in (carry or {})]
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("__text_hash"), *carried)
+    fields = [f for f in docs.schema.fields if f.name in ("__text_hash", *(carry or {}))]
     schema = T.StructType([*T._parse_datatype_string(SIZED).fields, *fields])
     sized = written(docs.mapInArrow(_measure("text", "doc_id", width, [f.name for f in fields]), schema))
-    docs = docs.select("text")
-    distinct = sized.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("half").alias("half"))
+    docs = docs.select("text", "__text_hash")
+    # one text stands for each set
+    distinct = sized.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("half").alias("half"), F.min("__text_hash").alias("text_hash"))
     total, rows = sized.agg(F.coalesce(F.sum("half"), F.lit(0)), F.count("*")).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # 1. screen
     buckets = min(MAX_BUCKETS, max(2 * least, -(-total // BUCKET_TOKENS)))
-    dealt = docs.mapInArrow(_deal_sample("text", width, buckets), Dealer.SCHEMA)
+    dealt = docs.select("text").mapInArrow(_deal_sample("text", width, buckets), Dealer.SCHEMA)
     shared = dealt.groupBy("bucket").applyInArrow(_count_shared(max(least, -(-rows // GROUP_SETS))), COUNTED)
     shared = shared.groupBy("grp").applyInArrow(_add_shared, "fp bigint, shared bigint")
     missing = F.col("half") - F.coalesce("shared", F.lit(0))
     left = distinct.join(shared, "fp", "left").where(missing <= F.col("n") - F.ceil(F.col("n") * at_least / per))
-    left = written(few_files(left.select("fp", "n"), total))
-    bits = spark.sparkContext.broadcast(id_filter(left.select("fp")).tobytes())
-    sets = docs.mapInArrow(_read_sets("text", width, bits), "fp bigint, tokens binary")
-    sets = written(few_files(sets.groupBy("fp").agg(F.first("tokens").alias("tokens")).join(left, "fp"), total))
+    left = written(few_files(left.select("fp", "n", "text_hash"), total))
+    bits = spark.sparkContext.broadcast(id_filter(left.select("text_hash")).tobytes())
+    sets = docs.mapInArrow(_read_sets("text", "__text_hash", width, bits), "fp bigint, tokens binary")
+    sets = written(few_files(sets.groupBy("fp").agg(F.first("tokens").alias("tokens")).join(left.select("fp", "n"), "fp"), total))
     # 2. index
     tokens = sets.agg(F.sum("n")).first()[0] or 0
     buckets = min(MAX_BUCKETS, max(least, -(-tokens // BUCKET_TOKENS)))
